@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brinewave.llm import fingerprints
+from brinewave.llm import fingerprints, pii
 from brinewave.llm.common import read
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLES: dict[str, str] = {}
