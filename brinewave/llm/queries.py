@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brinewave.llm import fingerprints, pii
+from brinewave.llm import fingerprints, langid, pii
 from brinewave.llm.common import read
 
 
@@ -12,12 +12,17 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(read(spark, sf_dir, "documents"))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.report(read(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_langid": op2_langid,
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLES: dict[str, str] = {}
