@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brinewave.llm import fingerprints, langid, pii
+from brinewave.llm import fingerprints, langid, pii, quality, toxicity
 from brinewave.llm.common import read
 
 
@@ -16,6 +16,14 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(read(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(read(spark, sf_dir, "documents"))
 
@@ -23,6 +31,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_langid": op2_langid,
+    "op6_quality": op6_quality,
+    "op8_toxicity": op8_toxicity,
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLES: dict[str, str] = {}
