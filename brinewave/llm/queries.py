@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from brinewave.llm import fingerprints, langid, pii, quality, toxicity
+from brinewave.llm import fingerprints, langid, pii, quality, tokencount, toxicity
 from brinewave.llm.common import read
 
 
@@ -24,6 +25,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.counts(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(read(spark, sf_dir, "documents"))
 
@@ -33,6 +38,7 @@ QUERIES = {
     "op2_langid": op2_langid,
     "op6_quality": op6_quality,
     "op8_toxicity": op8_toxicity,
+    "op9_token_counts": op9_token_counts,
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLES: dict[str, str] = {}
