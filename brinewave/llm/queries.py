@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from brinewave.llm import fingerprints, langid, pii, quality, tokencount, toxicity
+from brinewave.llm import fingerprints, langid, mixing, pii, quality, tokencount, toxicity
 from brinewave.llm.common import read
 
 
@@ -17,6 +17,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(read(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(read(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -36,6 +40,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_langid": op2_langid,
+    "op3_mixing": op3_mixing,
     "op6_quality": op6_quality,
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
