@@ -146,14 +146,19 @@ def disclosures(df: DataFrame, near: DataFrame, mentions: DataFrame, min_support
     total = df.count()
     pairs = near.filter("term is not null").select("_h1", "_h2", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= min_support)
     pairs = cut(pairs, "pairs")
+    held = mentions.distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    # A word is in at least the documents that have it beside any mention; where
+    # even these are too many for the lower threshold, it need not be counted.
+    beside = near.filter("term is not null").select("_h1", "_h2", "term").distinct().groupBy("term").agg(F.count("*").alias("m_t"))
+    most = F.col("n_et") * F.pow(F.lit(float(total)) / F.col("n_e"), 1 - generalise_at) * (1 + 1e-9)
+    pairs = cut(pairs.join(held, "entity").join(beside, "term").filter(F.col("m_t") <= most).drop("m_t"), "possible")
     terms = pairs.select("term").distinct()
     few = terms.limit(broadcast_rows + 1).count() <= broadcast_rows
     words = df.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"\P{L}+"))).alias("term"))
     seen = words.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    held = mentions.distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     pmi = F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
     ic = F.log2(F.lit(float(total)) / F.col("n_e"))
-    met = pairs.join(held, "entity").join(seen, "term")
+    met = pairs.join(seen, "term")
     return met.select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("disclosure")).filter(F.col("disclosure") >= generalise_at)
 
 
