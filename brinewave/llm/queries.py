@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from brinewave.llm import fingerprints, langid, mixing, pii, quality, tokencount, toxicity
+from brinewave.llm import fingerprints, langid, mixing, packing, pii, quality, tokencount, toxicity
 from brinewave.llm.common import read
 
 
@@ -21,6 +21,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(read(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -41,6 +45,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_langid": op2_langid,
     "op3_mixing": op3_mixing,
+    "op5_packing": op5_packing,
     "op6_quality": op6_quality,
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
