@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from brinewave.llm import fingerprints, langid, mixing, packing, pii, quality, tokencount, toxicity
+from brinewave.llm import fingerprints, htmltext, langid, mixing, packing, pii, quality, tokencount, toxicity
 from brinewave.llm.common import read
 
 
@@ -21,6 +21,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(read(spark, sf_dir, "documents"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.report(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -45,6 +49,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_langid": op2_langid,
     "op3_mixing": op3_mixing,
+    "op4_html_text": op4_html_text,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
     "op8_toxicity": op8_toxicity,
