@@ -59,7 +59,7 @@ TOPIC_OF = {w: k for k, v in TOPICS.items() for w in v.split()}
 LENGTHS, LINKS = (1, 2, 5, 10, 20, 50), (0.0, 0.3, 0.7)
 NAMES = (
     ["bias", *(f"in:{t}" for t in ANCESTORS), *(f"own:{t}" for t in OWN), "own:other", *(f"of:{t}" for t in TOPICS), "hidden", "linked"]
-    + [*(f"words:{n}" for n in LENGTHS), *(f"links:{x}" for x in LINKS), "links:all", "sentence", "copyright", "capital", "bars", "digits"]
+    + [*(f"words:{n}" for n in LENGTHS), *(f"links:{x}" for x in LINKS), "links:all", "sentence", "copyright", "capital", "bars"]
     + ["first", "last", "start", "end"]
 )
 ID = {n: i for i, n in enumerate(NAMES)}
@@ -200,8 +200,6 @@ def shape(text: str, own: str, links: int, i: int, n: int) -> list[int]:
         out.append(ID["capital"])
     if " | " in text or "»" in text or "›" in text:
         out.append(ID["bars"])
-    if text[0].isdigit():
-        out.append(ID["digits"])
     out += [ID[k] for k, yes in (("first", i == 0), ("last", i == n - 1), ("start", 10 * i < n), ("end", 10 * (i + 1) > 9 * n)) if yes]
     return out
 
@@ -328,12 +326,12 @@ def labelled_pages(n: int = 400, seed: int = 0) -> list[tuple[str, list[str]]]:
             kept.append(text)
             return text
 
-        title = phrase(3, 14)
-        inner = [pick(["<h1>{}</h1>", "<h1>{}</h1>", "<header><h1>{}</h1></header>", '<h2 class="title">{}</h2>']).format(good(title))] if chance(0.9) else []
+        title, bare = phrase(3, 14), chance(0.15)
+        inner = [pick(["<h1>{}</h1>", "<h1>{}</h1>", "<header><h1>{}</h1></header>", '<h2 class="title">{}</h2>']).format(good(title))] if chance(0.4 if bare else 0.9) else []
         inner += [pick(['<p class="byline">{}</p>', '<div class="meta">{}</div>', "<time>{}</time>"]).format(phrase(1, 4))] if chance(0.2) else []
         if inner and inner[-1].startswith("<time>"):
             inner.pop()
-        for _ in range(int(rng.integers(1, 12))):
+        for _ in range(int(pick([1, 1, 2, 3] if bare else range(1, 12)))):
             kind = rng.random()
             if kind < 0.7:
                 t = good(sentence_text(1, 8) if chance(0.8) else phrase(1, 5, pick([".", "", "!"])))
@@ -357,6 +355,8 @@ def labelled_pages(n: int = 400, seed: int = 0) -> list[tuple[str, list[str]]]:
         inner += [share()] * chance(0.2) + [comments()] * chance(0.2)
         wrap = pick(["<article>{}</article>", "<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', '<div id="post" class="entry">{}</div>', '<main><article class="post">{}</article></main>', '<div class="story-body">{}</div>', '<section role="main">{}</section>'])
         body = [f() for f in (top, menu, notice, advert, form) if chance(0.45)] + [wrap.format("".join(inner))] + [f() for f in (comments, side, advert, form, notice) if chance(0.35)] + [foot()] * chance(0.85)
+        if bare:
+            body = [wrap.format("".join(inner))]
         script = f"<script>var t=\"</p>\";{word()}(1);</script>" * chance(0.5)
         pages.append((f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{margin:0}}</style>{script}</head><body>{''.join(body)}</body></html>", kept))
     return pages

@@ -62,7 +62,7 @@ def test_given_pages(chain, spark):
 
 
 def test_odd_rows(chain, spark):
-    df = spark.createDataFrame([(1, None, None, "x"), (2, "u", "", "x"), (None, "u", "plain", None), (3, "u", "<article><p>Some real words here.</p></article>", None)] * 2, "page_id long, url string, html string, text string")
+    df = spark.createDataFrame([(1, None, None, "x"), (2, "u", "", "x"), (None, "u", "plain", None), (3, "u", "<article><p>Some real words stand here and they say something.</p></article>", None)] * 2, "page_id long, url string, html string, text string")
     got = ht.extract(df, chain).collect()
-    assert len(got) == 8 and {(r["page_id"], r["text"], r["n_chars"]) for r in got if r["page_id"] in (1, 2, 3)} == {(1, "", 0), (2, "", 0), (3, "Some real words here.", 21)}
+    assert len(got) == 8 and {(r["page_id"], r["text"], r["n_chars"]) for r in got if r["page_id"] in (1, 2, 3)} == {(1, "", 0), (2, "", 0), (3, "Some real words stand here and they say something.", 50)}
     assert ht.extract(df.limit(0), chain).collect() == []
