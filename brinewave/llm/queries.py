@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from brinewave.llm import fingerprints, htmltext, langid, mixing, packing, pii, quality, tokencount, toxicity
+from brinewave.llm import fingerprints, htmltext, langid, mixing, packing, pii, quality, simjoin, tokencount, toxicity
 from brinewave.llm.common import read
 
 
@@ -33,6 +33,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simjoin.report(read(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op4_html_text": op4_html_text,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_fingerprints": op10_fingerprints,
