@@ -1,4 +1,60 @@
-"""A training corpus from the documents table, stage by stage."""
+"""A training corpus from the documents table, stage by stage.
 
-STAGES: list = []
+Toxic documents go, one document of each group of near duplicates stays (five
+words, similarity 0.8), personal data is rewritten, sources are mixed to their
+target weights (a document taken twice is there twice), and what is left is
+packed into sequences of at most 4096 tokens. All stages but the last return the
+columns of documents; n_chars follows the text. Each takes (spark, docs, sf_dir).
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brinewave.llm import mixing, packing, pii, simjoin, toxicity
+from brinewave.llm.common import cut, read
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean(docs, read(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simjoin.distinct(docs, words=5, percent=80)
+
+
+def rewrite_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = pii.sanitise(docs)
+    return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.take(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.report(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", rewrite_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: SQL expresses neither the learning stages nor the sampling; tests hold them against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
