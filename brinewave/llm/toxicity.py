@@ -25,12 +25,12 @@ labels are looked at; repeated labels count as often as they occur.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,34 +42,35 @@ PREFIXES = (4, 5, 6, 7)
 FULL = 0.01
 
 
-def features(word: str) -> list[tuple[int, str]]:
-    """The word (as 0) and its beginnings."""
-    return [(0, word), *((k, word[:k]) for k in PREFIXES if len(word) >= k)]
+def features(word: str, bits: int) -> list[int]:
+    """Hash buckets of the word and its beginnings."""
+    names = [f"0 {word}", *(f"{k} {word[:k]}" for k in PREFIXES if len(word) >= k)]
+    return [xxhash.xxh64_intdigest(n) >> (64 - bits) for n in names]
 
 
-def counted(text: str) -> tuple[Counter, int]:
-    words = Counter(WORDS.findall(text.lower()))
-    out: Counter = Counter()
-    for w, n in words.items():
-        for f in features(w):
-            out[f] += n
-    return out, sum(words.values())
+def counted(texts: Iterable[str], bits: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(buckets, how often each, number of words) of each text."""
+    seen: dict[str, list[int]] = {}
+    out = []
+    for text in texts:
+        words = WORDS.findall(text.lower())
+        if len(seen) > 200_000:
+            seen.clear()
+        flat = [f for w in words for f in (seen.get(w) or seen.setdefault(w, features(w, bits)))]
+        buckets, n = np.unique(np.array(flat, np.int32), return_counts=True)
+        out.append((buckets, n.astype(np.int32), len(words)))
+    return out
 
 
 @dataclass
 class Model:
-    index: dict[tuple[int, str], int]
+    index: dict[int, int]  # of each bucket kept its weight's number
     weights: np.ndarray
     bias: float
+    bits: int = 20
 
     def ids(self, word: str) -> tuple[int, ...]:
-        if (len(word) >= 4 and (4, word[:4]) not in self.stems) and (0, word) not in self.index:
-            return ()
-        return tuple(i for f in features(word) if (i := self.index.get(f)) is not None)
-
-    def __post_init__(self):
-        # a longer beginning can only be a feature of words whose first four letters are among these
-        self.stems = {(4, w[:4]) for k, w in self.index if k}
+        return tuple(i for f in features(word, self.bits) if (i := self.index.get(f)) is not None)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not self.index:
@@ -100,26 +101,23 @@ def fit(xp: np.ndarray, xu: np.ndarray, prior: float, l2: float = 5e-4, steps: i
     return w[:-1], float(w[-1])
 
 
-def select(positive: list, unlabelled: list, n_features: int, least: int = 5) -> list[tuple[int, str]]:
-    """The features whose presence tells the two sets apart best, by KL divergence."""
-    in_p, in_u = Counter(), Counter()
-    for c, _ in positive:
-        in_p.update(c.keys())
-    for c, _ in unlabelled:
-        in_u.update(c.keys())
-    names = [f for f in in_p.keys() | in_u.keys() if in_p[f] + in_u[f] >= least]
-    p = (np.array([in_p[f] for f in names]) + 0.5) / (len(positive) + 1)
-    q = (np.array([in_u[f] for f in names]) + 0.5) / (len(unlabelled) + 1)
+def select(positive: list, unlabelled: list, n_features: int, bits: int, least: int = 5) -> np.ndarray:
+    """The buckets whose presence tells the two sets apart best, by KL divergence."""
+    in_p, in_u = (np.bincount(np.concatenate([b for b, _, _ in docs]), minlength=1 << bits) for docs in (positive, unlabelled))
+    names = np.flatnonzero(in_p + in_u >= least)
+    p, q = (in_p[names] + 0.5) / (len(positive) + 1), (in_u[names] + 0.5) / (len(unlabelled) + 1)
     worth = p * np.log(p / q) + (1 - p) * np.log((1 - p) / (1 - q))
-    return [names[i] for i in sorted(range(len(names)), key=lambda i: (-round(worth[i], 12), names[i]))[:n_features]]
+    return names[np.lexsort((names, -worth.round(12)))][:n_features]
 
 
-def matrix(docs: list, index: dict) -> np.ndarray:
+def matrix(docs: list, index: dict, bits: int) -> np.ndarray:
+    column = np.full(1 << bits, -1, np.int32)
+    column[list(index)] = list(index.values())
     x = np.zeros((len(docs), len(index)))
-    for row, (c, _) in zip(x, docs, strict=True):
-        for f in c.keys() & index.keys():
-            row[index[f]] = c[f]
-    return values(x, np.array([n for _, n in docs]))
+    for row, (buckets, n, _) in zip(x, docs, strict=True):
+        at = column[buckets]
+        row[at[at >= 0]] = n[at >= 0]
+    return values(x, np.array([n for _, _, n in docs]))
 
 
 def slices(rows: DataFrame, most: int, slice_chars: int) -> list[str]:
@@ -128,7 +126,7 @@ def slices(rows: DataFrame, most: int, slice_chars: int) -> list[str]:
     return [r["text"] for r in rows.select("_u", F.substring("text", offset + 1, F.lit(slice_chars)).alias("text")).orderBy("_u", "text").limit(most).collect()]
 
 
-def learn(docs: DataFrame, labels: DataFrame, positives: int = 1_500, unlabelled: int = 4_000, slice_chars: int = 6_000, n_features: int = 1_000, seed: int = 11) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, positives: int = 1_500, unlabelled: int = 4_000, slice_chars: int = 6_000, n_features: int = 1_000, seed: int = 11, bits: int = 20) -> Model:
     """A model from the rows outside the held-out fold."""
     known = labels.filter(~is_held_out(F.col("doc_id")) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     n, toxic = known.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("long"))).first()
@@ -142,9 +140,11 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = 1_500, unlabelled
     texts_u = slices(rows.withColumn("_u", u).filter(F.pmod("_u", F.lit(1 << 20)) < share * (1 << 20)), unlabelled, slice_chars)
     if not texts_p or not texts_u:
         return NOTHING
-    p, q = [counted(t) for t in texts_p], [counted(t) for t in texts_u]
-    index = {f: i for i, f in enumerate(select(p, q, n_features))}
-    return Model(index, *fit(matrix(p, index), matrix(q, index), toxic / n))
+    p, q = counted(texts_p, bits), counted(texts_u, bits)
+    index = {int(f): i for i, f in enumerate(select(p, q, n_features, bits))}
+    if not index:
+        return NOTHING
+    return Model(index, *fit(matrix(p, index, bits), matrix(q, index, bits), toxic / n), bits)
 
 
 class Seen(dict):

@@ -14,7 +14,7 @@ def test_fit_recovers_a_separating_direction():
     toxic = lambda n: rng.normal([1.5, 0], 0.4, (n, 2))
     clean = lambda n: rng.normal([-1.5, 0], 0.4, (n, 2))
     w, b = toxicity.fit(toxic(200), np.vstack([toxic(100), clean(900)]), 0.1)
-    model = toxicity.Model({(0, "a"): 0, (0, "b"): 1}, w, b)
+    model = toxicity.Model({7: 0, 9: 1}, w, b)
     assert (model.score(toxic(200)) > 0.5).mean() > 0.97 and (model.score(clean(200)) < 0.5).mean() > 0.97
 
 
