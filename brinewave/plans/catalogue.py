@@ -1,6 +1,588 @@
-"""Queries over the driver's tables and their DuckDB twins, by name."""
+"""Queries over the driver's tables, by name, and their DuckDB twins.
+
+Signals over the tables: the values of each user's events by event_id, and the
+embeddings (64 samples at 1000 Hz). Numbers are rounded alike on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brinewave import signals
+from brinewave.functions import arrays as A
+from brinewave.operators import assemble, effects, framing, scaling, segment, spectral, tabular, time_features, time_windows, transforms
+from brinewave.plans.sql import TABULAR
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+FS, N = 1000.0, 64
+
+
+def query(name: str, oracle: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = " ".join(oracle.split())
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.long_from_rows(table(spark, sf_dir, "events"), "user_id", ["event_id"], "value")
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.arrays(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def r(c: Column | str, digits: int = 6) -> Column:
+    return F.round(c, digits) + F.lit(0.0)
+
+
+def spread(df: DataFrame, column: Column | str, name: str, *keys: str, digits: int = 6) -> DataFrame:
+    """One row per element of an array: keys, n, name."""
+    rows = df.select(*(keys or ("signal_id",)), F.posexplode(column).alias("n", "_x"))
+    return rows.select(*(keys or ("signal_id",)), F.col("n").cast("long").alias("n"), r("_x", digits).alias(name))
+
+
+S = "s as (select user_id as signal_id, cast(row_number() over (partition by user_id order by event_id) - 1 as bigint) as n, value as v from events)"
+C = "c as (select signal_id, count(*) as c from s group by 1)"
+G = "g as (select signal_id, unnest(generate_series(0, c // 8)) as frame from c)"
+X = """x as (select g.signal_id, g.frame, p.p, coalesce(s.v, 0.0) as v, s.v as own from g
+    cross join (select unnest(generate_series(0, 15)) as p) p left join s on s.signal_id = g.signal_id and s.n = g.frame * 8 + p.p - 8)"""
+FRAMES = f"with {S}, {C}, {G}, {X}"
+E = "e as (select vec_id as signal_id, cast(unnest(generate_series(0, 63)) as bigint) as n, cast(unnest(embedding) as double) as v from embeddings)"
+
+
+def dft_sql(values: str = "v", source: str = "e") -> str:
+    return f"""sp as (select signal_id, k, sum({values} * cos(2 * pi() * k * n / 64)) as re, -sum({values} * sin(2 * pi() * k * n / 64)) as im
+        from {source} cross join (select cast(unnest(generate_series(0, 32)) as bigint) as k) group by 1, 2)"""
+
+
+MAG = f"with {E}, {dft_sql()}, m as (select signal_id, k, k * 1000.0 / 64 as f, sqrt(re * re + im * im) as m from sp)"
+
+# -- frames and time features ------------------------------------------------
+
+
+def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return framing.frames(events(spark, sf_dir), 16, 8)
+
+
+@query("frame_features", f"""{FRAMES} select signal_id, frame, round(sqrt(sum(v * v) / 16), 6) as rms_energy, round(max(abs(v)), 6) as peak_amplitude,
+    round(sum(abs(v)) / 16, 6) as mean_amplitude from x group by 1, 2""")
+def frame_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = time_features.frame_energy(framing.membership(events(spark, sf_dir), 16, 8), 16)
+    return rows.select("signal_id", "frame", *[r(c).alias(c) for c in ("rms_energy", "peak_amplitude", "mean_amplitude")])
+
+
+TIME_SQL = {
+    "mean_amplitude": "avg(abs(v))",
+    "std_dev_amplitude": "stddev_pop(v)",
+    "skewness": "case when var_pop(v) < 2.22e-16 then 0 else skewness(v) end",
+    "kurtosis_val": "case when var_pop(v) < 2.22e-16 then 0 else kurtosis(v) end",
+    "peak_amplitude": "max(abs(v))",
+    "crest_factor": "case when sqrt(avg(v * v)) < 2.22e-16 then 0 else max(abs(v)) / sqrt(avg(v * v)) end",
+}
+
+
+def _time_feature(name: str) -> None:
+    @query(f"frame_{name}", f"{FRAMES} select signal_id, frame, round({TIME_SQL[name]}, 6) as {name} from x group by 1, 2")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return event_frames(spark, sf_dir).select("signal_id", "frame", r(time_features.TIME_FEATURES[name](F.col("samples"))).alias(name))
+
+
+for _name in TIME_SQL:
+    _time_feature(_name)
+
+ENTROPY = """h as (select signal_id, frame, min(v) as lo, max(v) as hi from x group by 1, 2),
+    b as (select x.signal_id, x.frame, hi - lo as w, least(9, floor((v - lo) / nullif((hi - lo) / 10, 0))) as b from x join h using (signal_id, frame)),
+    q as (select signal_id, frame, b, max(w) as w, count(*) / 16.0 as p from b group by 1, 2, 3)"""
+
+
+@query("frame_entropy", f"{FRAMES}, {ENTROPY} select signal_id, frame, round(case when max(w) < 2.22e-16 then 0 else -sum(p * ln(p)) end, 6) as signal_entropy from q group by 1, 2")
+def frame_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_frames(spark, sf_dir).select("signal_id", "frame", r(time_features.signal_entropy(F.col("samples"))).alias("signal_entropy"))
+
+
+@query("frame_zcr", f"""{FRAMES}, z as (select *, lag(own) over (partition by signal_id, frame order by p) as before from x)
+    select signal_id, frame, round(sum(case when own is not null and before is not null and (own < -1e-10) <> (before < -1e-10) then 1.0 else 0.0 end) / 16, 6) as zero_crossing_rate from z group by 1, 2""")
+def frame_zcr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_frames(spark, sf_dir).select("signal_id", "frame", r(time_features.zero_crossing_rate(F.col("own"), 16)).alias("zero_crossing_rate"))
+
+
+@query("frame_times", f"with {S}, {C}, {G} select signal_id, frame, round((frame * 8 + 8) / 100.0, 6) as time_s from g")
+def frame_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return framing.frame_times(event_frames(spark, sf_dir), 100.0, 16, 8).select("signal_id", "frame", r("time_s").alias("time_s"))
+
+
+@query("frames_uncentred", f"""with {S}, {C}, g as (select signal_id, unnest(generate_series(0, (c - 16) // 8)) as frame from c where c >= 16)
+    select g.signal_id, g.frame, count(*) as n, round(sum(v), 4) as total from g join s on s.signal_id = g.signal_id and s.n >= g.frame * 8 and s.n < g.frame * 8 + 16 group by 1, 2""")
+def frames_uncentred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = framing.membership(events(spark, sf_dir), 16, 8, center=False)
+    return rows.groupBy("signal_id", "frame").agg(F.count("*").alias("n"), r(F.sum("value"), 4).alias("total"))
+
+
+@query("extract_all_time", f"""{FRAMES}, {ENTROPY}, en as (select signal_id, frame, case when max(w) < 2.22e-16 then 0 else -sum(p * ln(p)) end as e from q group by 1, 2)
+    select signal_id, frame, round((frame * 8 + 8) / 100.0, 6) as time_s, {', '.join(f'round({v}, 6) as {k}' for k, v in TIME_SQL.items())}, round(max(e), 6) as signal_entropy
+    from x join en using (signal_id, frame) group by 1, 2""")
+def extract_all_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = framing.frame_times(event_frames(spark, sf_dir), 100.0, 16, 8)
+    return rows.select("signal_id", "frame", r("time_s").alias("time_s"), *[r(f(F.col("samples"))).alias(k) for k, f in time_features.TIME_FEATURES.items()])
+
+
+@query("audio_metrics", "select user_id as signal_id, round(count(value) / 100.0, 6) as duration_seconds, round(sqrt(avg(value * value)), 6) as rms_global, round(max(abs(value)), 6) as peak_amplitude from events group by 1")
+def audio_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = time_features.summary(events(spark, sf_dir), 100.0)
+    return rows.select("signal_id", *[r(c).alias(c) for c in ("duration_seconds", "rms_global", "peak_amplitude")])
+
+
+# -- spectra -------------------------------------------------------------------
+
+
+def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectral.spectrum(vectors(spark, sf_dir), N)
+
+
+@query("dft", f"with {E}, {dft_sql()} select signal_id, k, round(k * 1000.0 / 64, 6) as frequency, round(re, 6) + 0.0 as re, round(im, 6) + 0.0 as im from sp")
+def dft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spectral.bins(spectra(spark, sf_dir), N, FS, "signal_id")
+    return rows.select("signal_id", F.col("k").cast("long").alias("k"), r("frequency").alias("frequency"), r("re").alias("re"), r("im").alias("im"))
+
+
+@query("fft_kernel", f"with {E}, {dft_sql()} select signal_id, k as n, round(sqrt(re * re + im * im), 6) as magnitude from sp")
+def fft_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import numpy as np
+
+    from brinewave.operators import kernels
+
+    rows = kernels.apply(vectors(spark, sf_dir), lambda x: np.abs(kernels.fft(x, window=None)[:33]))
+    return spread(rows, "values", "magnitude")
+
+
+@query("spectrum_magnitude_phase", f"{MAG} select m.signal_id, m.k, round(f, 6) as frequency, round(m, 6) as magnitude, round(cos(atan2(im, re)), 5) + 0.0 as phase_cos from m join sp on sp.signal_id = m.signal_id and sp.k = m.k where m.k > 0")
+def spectrum_magnitude_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spectral.bins(spectra(spark, sf_dir), N, FS, "signal_id").filter("k > 0")
+    return rows.select("signal_id", F.col("k").cast("long").alias("k"), r("frequency").alias("frequency"), r(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2)).alias("magnitude"), r(F.cos(F.atan2("im", "re")), 5).alias("phase_cos"))
+
+
+@query("idft_roundtrip", f"with {E} select signal_id, n, round(v, 6) + 0.0 as value from e")
+def idft_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spectral.spectrum(vectors(spark, sf_dir), N, bins=N)
+    return spread(rows, spectral.inverse(F.col("spectrum"), N), "value")
+
+
+def _window(kind: str, oracle: str) -> None:
+    @query(f"window_{kind}", f"with {E} select signal_id, n, round(v * ({oracle}), 6) + 0.0 as value from e")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spread(vectors(spark, sf_dir), A.windowed(F.col("samples"), kind, N), "value")
+
+
+_window("hann", "0.5 - 0.5 * cos(2 * pi() * n / 63)")
+_window("hamming", "0.54 - 0.46 * cos(2 * pi() * n / 63)")
+_window("blackman", "0.42 - 0.5 * cos(2 * pi() * n / 63) + 0.08 * cos(4 * pi() * n / 63)")
+_window("bartlett", "1 - abs(2 * n / 63.0 - 1)")
+_window("boxcar", "1")
+
+HANN = "(0.5 - 0.5 * cos(2 * pi() * n / 64))"
+
+
+@query("fft_hann", f"with {E}, {dft_sql('v * (0.5 - 0.5 * cos(2 * pi() * n / 63))')} select signal_id, k, round(sqrt(re * re + im * im), 6) as magnitude from sp")
+def fft_hann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spectral.spectrum(vectors(spark, sf_dir), N, "hann")
+    return spread(rows, A.magnitude(F.col("spectrum")), "magnitude").withColumnRenamed("n", "k")
+
+
+@query("stft_mag", f"""{FRAMES}, t as (select signal_id, frame, k, sum(v * (0.5 - 0.5 * cos(2 * pi() * p / 16)) * cos(2 * pi() * k * p / 16)) as re,
+    sum(v * (0.5 - 0.5 * cos(2 * pi() * p / 16)) * sin(2 * pi() * k * p / 16)) as im from x cross join (select cast(unnest(generate_series(0, 8)) as bigint) as k) group by 1, 2, 3)
+    select signal_id, frame, k as n, round(sqrt(re * re + im * im), 5) as magnitude from t""")
+def stft_mag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spectral.spectrum(event_frames(spark, sf_dir), 16, "hann", periodic=True)
+    return spread(rows, A.magnitude(F.col("spectrum")), "magnitude", "signal_id", "frame", digits=5)
+
+
+PSD = f"""d as (select signal_id, n, (v - avg(v) over (partition by signal_id)) * {HANN} as v from e), {dft_sql('v', 'd')}"""
+
+
+@query("psd_periodogram", f"with {E}, {PSD} select signal_id, k as n, round((re * re + im * im) / (1000.0 * 24) * case when k in (0, 32) then 1 else 2 end, 9) as psd from sp")
+def psd_periodogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(vectors(spark, sf_dir), spectral.periodogram(F.col("samples"), N, FS), "psd", digits=9)
+
+
+@query("psd_welch", f"""with {S}, {C}, g as (select signal_id, unnest(generate_series(0, (c - 16) // 8)) as frame from c where c >= 16),
+    x as (select g.signal_id, g.frame, s.n - g.frame * 8 as p, v from g join s on s.signal_id = g.signal_id and s.n >= g.frame * 8 and s.n < g.frame * 8 + 16),
+    d as (select signal_id, frame, p, (v - avg(v) over (partition by signal_id, frame)) * (0.5 - 0.5 * cos(2 * pi() * p / 16)) as v from x),
+    t as (select signal_id, frame, k, sum(v * cos(2 * pi() * k * p / 16)) as re, sum(v * sin(2 * pi() * k * p / 16)) as im from d cross join (select cast(unnest(generate_series(0, 8)) as bigint) as k) group by 1, 2, 3)
+    select signal_id, k, round(k * 100.0 / 16, 6) as frequency, round(avg((re * re + im * im) / (100.0 * 6) * case when k in (0, 8) then 1 else 2 end), 4) as psd from t group by 1, 2""")
+def psd_welch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spectral.welch(framing.frames(events(spark, sf_dir), 16, 8, center=False), 16, 100.0)
+    return rows.select("signal_id", F.col("k").cast("long").alias("k"), r("frequency").alias("frequency"), r("psd", 4).alias("psd"))
+
+
+SPECTRAL_SQL = {
+    "spectral_centroid": "sum(f * m) / sum(m)",
+    "spectral_flatness": "least(1.0, greatest(0.0, exp(avg(ln(m + 2.22e-16))) / avg(m)))",
+    "dominant_frequency": "arg_max(f, m)",
+}
+
+
+def _spectral_feature(name: str, oracle: str) -> None:
+    @query(name, oracle)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = spectra(spark, sf_dir).withColumn("m", A.magnitude(F.col("spectrum")))
+        return rows.select("signal_id", r(spectral.SPECTRAL_FEATURES[name](F.col("m"), spectral.frequencies(N, FS))).alias(name))
+
+
+for _name, _sql in SPECTRAL_SQL.items():
+    _spectral_feature(_name, f"{MAG} select signal_id, round({_sql}, 6) as {_name} from m group by 1")
+_spectral_feature("spectral_bandwidth", f"""{MAG}, c as (select signal_id, sum(f * m) / sum(m) as c from m group by 1)
+    select signal_id, round(sqrt(sum(pow(abs(f - c), 2) * m) / sum(m)), 6) as spectral_bandwidth from m join c using (signal_id) group by 1""")
+_spectral_feature("spectral_rolloff", f"""{MAG}, w as (select *, sum(m * m) over (partition by signal_id order by k rows between unbounded preceding and current row) as ce, sum(m * m) over (partition by signal_id) as te from m)
+    select signal_id, round(min(f), 6) as spectral_rolloff from w where ce >= 0.85 * te group by 1""")
+
+
+def mel_sql() -> str:
+    filters = spectral.mel_filters(FS, N, 12)
+    rows = ", ".join(f"({j}, {k}, {w!r})" for j, row in enumerate(filters) for k, w in enumerate(row) if w > 0)
+    return f"""f(j, k, w) as (values {rows}), p as (select signal_id, k, re * re + im * im as p from sp),
+        l as (select p.signal_id, cast(f.j as bigint) as n, sum(f.w * p.p) as mel from p join f on f.k = p.k group by 1, 2)"""
+
+
+@query("mel_spectrogram", f"with {E}, {dft_sql('v * ' + HANN)}, {mel_sql()} select signal_id, n, round(mel, 6) as mel from l")
+def mel_spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spectral.spectrum(vectors(spark, sf_dir), N, "hann", periodic=True)
+    mels = spread(rows, spectral.mel_power(A.power(F.col("spectrum")), spectral.mel_filters(FS, N, 12)), "mel")
+    used = [i for i, row in enumerate(spectral.mel_filters(FS, N, 12)) if any(w > 0 for w in row)]
+    return mels.filter(F.col("n").isin(used))
+
+
+@query("mfcc", f"""with {E}, {dft_sql('v * ' + HANN)}, {mel_sql()}, a as (select i.signal_id, j.n, coalesce(l.mel, 0) as mel from (select distinct signal_id from l) i cross join (select cast(unnest(generate_series(0, 11)) as bigint) as n) j left join l on l.signal_id = i.signal_id and l.n = j.n),
+    b as (select signal_id, n, 10 * log10(greatest(1e-10, mel)) - max(10 * log10(greatest(1e-10, mel))) over (partition by signal_id) as db from a)
+    select signal_id, i as n, round(sum(greatest(db, -80.0) * cos(pi() * i * (2 * n + 1) / 24)) * sqrt(case when i = 0 then 1 else 2 end / 12.0), 5) + 0.0 as coefficient
+    from b cross join (select cast(unnest(generate_series(0, 7)) as bigint) as i) group by 1, 2""")
+def mfcc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spectral.mfcc(vectors(spark, sf_dir).withColumn("frame", F.lit(0)), N, FS, 12, 8)
+    return spread(rows, "mfcc", "coefficient", digits=5)
+
+
+# -- convolution, correlation and other transforms ----------------------------------
+
+
+def _conv(name: str, mode: str, low: int, high: int) -> None:
+    @query(f"conv_{name}", f"""with {E}, w(j, w) as (values (0, 0.25), (1, 0.5), (2, -0.25)), i as (select cast(unnest(generate_series({low}, {high})) as bigint) as i)
+        select e.signal_id, i.i - {low} as n, round(sum(e.v * w.w), 6) + 0.0 as value from e join i on true join w on e.n + w.j = i.i group by 1, 2""")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spread(vectors(spark, sf_dir), transforms.convolve(F.col("samples"), A.literal([0.25, 0.5, -0.25]), mode), "value")
+
+
+_conv("full", "full", 0, 65)
+_conv("same", "same", 1, 64)
+_conv("valid", "valid", 2, 63)
+
+
+@query("autocorr", f"with {E} select a.signal_id, a.n - b.n + 63 as n, round(sum(a.v * b.v), 6) + 0.0 as value from e a join e b using (signal_id) group by 1, 2")
+def autocorr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(vectors(spark, sf_dir), transforms.autocorrelate(F.col("samples")), "value")
+
+
+@query("xcorr_full", f"""with {E} select a.signal_id, a.n - b.n + 63 as n, round(sum(a.v * b.v * (0.5 - 0.5 * cos(2 * pi() * b.n / 63))), 6) + 0.0 as value from e a join e b using (signal_id) group by 1, 2""")
+def xcorr_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(vectors(spark, sf_dir), transforms.correlate(F.col("samples"), A.windowed(F.col("samples"), "hann", N)), "value")
+
+
+@query("laplace", f"""with {E}, p(s_re, s_im) as (values (0.0, 0.0), (0.1, 1.0), (0.5, -2.0))
+    select signal_id, s_re, s_im, round(sum(v * exp(-s_re * n * 0.1) * cos(s_im * n * 0.1) * 0.1), 6) + 0.0 as re, round(-sum(v * exp(-s_re * n * 0.1) * sin(s_im * n * 0.1) * 0.1), 6) + 0.0 as im from e cross join p group by 1, 2, 3""")
+def laplace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = transforms.laplace(vectors(spark, sf_dir), [0, 0.1 + 1j, 0.5 - 2j], 0.1)
+    return rows.select("signal_id", "s_re", "s_im", r("re").alias("re"), r("im").alias("im"))
+
+
+HAAR = "h as (select signal_id, n // 2 as n, sum(v) / sqrt(2.0) as a, sum(case when n % 2 = 0 then v else -v end) / sqrt(2.0) as d from e group by 1, 2)"
+
+
+@query("haar_dwt", f"with {E}, {HAAR} select signal_id, n, round(a, 6) + 0.0 as approximation, round(d, 6) + 0.0 as detail from h")
+def haar_dwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = vectors(spark, sf_dir).withColumn("h", transforms.haar(F.col("samples")))
+    rows = levels.select("signal_id", F.posexplode(F.arrays_zip("h.approximation", "h.detail")).alias("n", "x"))
+    return rows.select("signal_id", F.col("n").cast("long").alias("n"), r("x.approximation").alias("approximation"), r("x.detail").alias("detail"))
+
+
+@query("haar_idwt", f"with {E} select signal_id, n, round(v, 6) + 0.0 as value from e")
+def haar_idwt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(vectors(spark, sf_dir), transforms.inverse_haar(transforms.haar(F.col("samples"))), "value")
+
+
+@query("ewma", f"with {E} select a.signal_id, a.n, round(sum(b.v * case when b.n = 0 then 1 else 0.3 end * pow(0.7, a.n - b.n)), 6) + 0.0 as value from e a join e b on a.signal_id = b.signal_id and b.n <= a.n group by 1, 2")
+def ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(vectors(spark, sf_dir), transforms.exponential_smoothing(F.col("samples"), 0.3), "value")
+
+
+# -- effects -------------------------------------------------------------------
+
+
+def _effect(name: str, oracle: str, f: Callable[[DataFrame], DataFrame], digits: int = 6) -> None:
+    @query(name, f"with {S} {oracle}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(events(spark, sf_dir)).select("signal_id", "n", r("value", digits).alias("value"))
+
+
+def _point(expr: str, digits: int = 6) -> str:
+    return f"select signal_id, n, round({expr}, {digits}) + 0.0 as value from s"
+
+
+def _comb(lag: int, feedback: float, wet: float, dry: float) -> str:
+    return f"""select a.signal_id, a.n, round(any_value(a.v) * {dry} + {wet} * coalesce(sum(pow({feedback}, (a.n - b.n) // {lag} - 1) * b.v), 0), 5) + 0.0 as value
+        from s a left join s b on a.signal_id = b.signal_id and b.n < a.n and (a.n - b.n) % {lag} = 0 group by 1, 2"""
+
+
+_effect("gain", _point("v * pow(10.0, 6.0 / 20)"), lambda d: effects.gain(d, 6.0))
+_effect("compress", _point("case when abs(v) > 0.5 then sign(v) * (0.5 + (abs(v) - 0.5) / 4) else v end"), lambda d: effects.compress(d, 0.5, 4.0))
+_effect("tremolo_sine", _point("v * (0.4 + 0.6 * sin(2 * pi() * n / 100.0 * 3))"), lambda d: effects.tremolo(d, 100.0, 3.0, 0.6))
+_effect("tremolo_triangle", _point("v * (0.4 + 0.6 * case when n * 0.03125 - floor(n * 0.03125) < 0.5 then 4 * (n * 0.03125 - floor(n * 0.03125)) - 1 else 3 - 4 * (n * 0.03125 - floor(n * 0.03125)) end)"), lambda d: effects.tremolo(d, 32.0, 1.0, 0.6, "triangle"))
+_effect("tremolo_square", _point("v * (0.4 + 0.6 * sign(sin(2 * pi() * (n / 100.0 * 7.3))))"), lambda d: effects.tremolo(d, 100.0, 7.3, 0.6, "square"))
+_effect("delay_feedback", _comb(5, 0.4, 0.5, 1.0), lambda d: effects.delay(d, 100.0, 0.05, 0.4, 0.5, 1.0), 5)
+_effect("chorus_compat", _comb(5, 0.2, 0.5, 1.0), lambda d: effects.chorus(d, 100.0), 5)
+_effect("flanger_compat", _comb(3, 0.3, 0.5, 0.5), lambda d: effects.flanger(d, 100.0, depth=0.0005, delay=0.001, feedback=0.3), 5)
+_effect("amplify", _point("v * 2"), lambda d: effects.amplify(d))
+_effect("square", _point("v * v", 4), effects.square, 4)
+_effect("clip_pcm", _point("least(greatest(v, -1.0), 1.0)"), effects.clip_pcm)
+_effect("eq_identity", _point("v"), lambda d: effects.equalise(d, {10.0: 6.0}, 100.0))
+
+
+@query("reverb_fixed_ir", f"""with {E}, h(j, w) as (values (0, 1.0), (1, 0.5), (2, 0.25), (3, 0.125)), i as (select cast(unnest(generate_series(0, 66)) as bigint) as n),
+    w as (select e.signal_id, e.n + h.j as n, sum(e.v * h.w) as w from e cross join h group by 1, 2)
+    select w.signal_id, w.n, round(0.7 * coalesce(e.v, 0) + 0.3 * w.w, 6) + 0.0 as value from w left join e on e.signal_id = w.signal_id and e.n = w.n""")
+def reverb_fixed_ir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(effects.reverb(vectors(spark, sf_dir), [1.0, 0.5, 0.25, 0.125]), "samples", "value")
+
+
+@query("stereo_midside", """select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, round((l_discount + l_tax) / 2 + 1.5 * (l_discount - l_tax) / 2, 6) + 0.0 as "left", round((l_discount + l_tax) / 2 - 1.5 * (l_discount - l_tax) / 2, 6) + 0.0 as "right" from lineitem""")
+def stereo_midside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.col("l_discount").alias("left"), F.col("l_tax").alias("right"))
+    return effects.widen(rows, 1.5).select("l_orderkey", "l_linenumber", r("left").alias("left"), r("right").alias("right"))
+
+
+# -- segments, scaling, datasets -----------------------------------------------------
+
+
+@query("segment_fixed", f"""with {S}, {C}, g as (select signal_id, c, unnest(generate_series(0, (c - 1) // 20)) as segment_id from c)
+    select signal_id, segment_id, segment_id * 20 as start, 20 as own from g where segment_id * 20 + 20 <= c""")
+def segment_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.fixed_length(events(spark, sf_dir), 100.0, 0.2, pad=False).select("signal_id", "segment_id", "start", F.col("own").cast("int").alias("own"))
+
+
+@query("segment_fixed_overlap_pad", f"""with {S}, {C}, g as (select signal_id, c, unnest(generate_series(0, (c - 1) // 10)) as segment_id from c), f as (select signal_id, segment_id, least(20, c - segment_id * 10) as own from g),
+    k as (select * from f where own >= 5), p as (select signal_id, segment_id, unnest(generate_series(0, 19)) as pos from k)
+    select p.signal_id, p.segment_id, p.pos, round(coalesce(s.v, 0), 6) + 0.0 as value from p left join s on s.signal_id = p.signal_id and s.n = p.segment_id * 10 + p.pos""")
+def segment_fixed_overlap_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.fixed_samples(events(spark, sf_dir), 100.0, 0.2, 0.5, True, 0.05).select("signal_id", "segment_id", "pos", r("value").alias("value"))
+
+
+@query("segment_islands", f"""with {S}, m as (select *, max(v) over (partition by signal_id) as mx from s), q as (select *, case when v < mx * pow(10.0, -14.0 / 20.0) then 1 else 0 end as silent from m),
+    w as (select *, n - row_number() over (partition by signal_id, silent order by n) as g from q) select signal_id, silent, min(n) as start, max(n) + 1 as "end" from w group by signal_id, silent, g""")
+def segment_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    top = F.max("value").over(Window.partitionBy("signal_id"))
+    rows = events(spark, sf_dir).withColumn("silent", (F.col("value") < top * F.pow(F.lit(10.0), F.lit(-14.0) / F.lit(20.0))).cast("int"))
+    return segment.islands(rows, ["signal_id"], "n", "silent")
+
+
+@query("segment_silence", f"""{FRAMES.replace('c // 8', 'c // 4').replace('frame * 8 + p.p - 8', 'frame * 4 + p.p - 4').replace('(0, 15)', '(0, 7)')},
+    e as (select signal_id, frame, sqrt(sum(v * v) / 8) as rms from x group by 1, 2), t as (select *, max(rms) over (partition by signal_id) as top, count(*) over (partition by signal_id) as nf from e),
+    q as (select *, rms < top * pow(10.0, -6.0 / 20) as silent from t where top >= 2.22e-16), w as (select *, frame - row_number() over (partition by signal_id, silent order by frame) as g from q),
+    z as (select signal_id, min(frame) as a, max(frame) + 1 as b from w where silent group by signal_id, g having count(*) >= 2),
+    u as (select signal_id, a, b from z union all select distinct signal_id, nf, nf from q), l as (select signal_id, coalesce(lag(b) over (partition by signal_id order by a, b), 0) as a, a as b from u),
+    k as (select l.signal_id, greatest(0, a * 4 - 2) as start, least(c, b * 4 + 2) as fin from l join c using (signal_id) where a < b), f as (select * from k where fin - start >= 6),
+    o as (select *, max(fin) over (partition by signal_id order by start, fin rows between unbounded preceding and 1 preceding) as pe from f),
+    y as (select *, sum(case when pe is null or start >= pe then 1 else 0 end) over (partition by signal_id order by start, fin) as grp from o)
+    select signal_id, cast(row_number() over (partition by signal_id order by min(start)) - 1 as bigint) as segment_id, min(start) as start, max(fin) as "end" from y group by signal_id, grp""")
+def segment_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.by_silence(events(spark, sf_dir), 100.0, -6.0, 0.06, 0.06, 0.025, 8, 4)
+
+
+EVENTS_AT = f"with {S}, {C}, p as (select signal_id, n as event_id, n / 100.0 as t from s where n % 20 = 7)"
+
+
+def _event_times(long: DataFrame) -> DataFrame:
+    return long.filter("n % 20 = 7").select("signal_id", F.col("n").alias("event_id"), (F.col("n") / 100.0).alias("time_s"))
+
+
+@query("segment_event", f"""{EVENTS_AT}, q as (select p.signal_id, event_id, greatest(0, cast(floor(t * 100) as bigint) - 5) as start, least(c, cast(floor(t * 100) as bigint) + 20) as "end" from p join c using (signal_id))
+    select * from q where start < "end" """)
+def segment_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = events(spark, sf_dir)
+    return segment.by_event(_event_times(long), long.groupBy("signal_id").agg(F.count("*").alias("c")), 100.0)
+
+
+def _scale(kind: str, shift: str, width: str) -> None:
+    @query(f"scale_{kind}", f"""with t as (select event_id, value from events where value is not null), p as (select {shift} as a, {width} as b from t)
+        select event_id, round((value - a) / case when b = 0 then 1 else b end, 6) + 0.0 as value from t cross join p""")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = table(spark, sf_dir, "events").select("event_id", "value").filter("value is not null")
+        return scaling.scale(rows, kind, ["value"]).select("event_id", r("value").alias("value"))
+
+
+_scale("standard", "avg(value)", "stddev_pop(value)")
+_scale("minmax", "min(value)", "max(value) - min(value)")
+_scale("robust", "median(value)", "quantile_cont(value, 0.75) - quantile_cont(value, 0.25)")
+
+
+@query("scale_prefit", """with p as (select avg(c_acctbal) as a, stddev_pop(c_acctbal) as b from customer) select s_suppkey, round((s_acctbal - a) / b, 6) + 0.0 as s_acctbal from supplier cross join p""")
+def scale_prefit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fitted = scaling.fit(table(spark, sf_dir, "customer").withColumnRenamed("c_acctbal", "s_acctbal"), ["s_acctbal"])
+    rows = scaling.apply(table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), fitted, ["s_acctbal"])
+    return rows.select("s_suppkey", r("s_acctbal").alias("s_acctbal"))
+
+
+SEGMENTS = f"""with {S}, {C}, g as (select signal_id, c, cast(unnest([0, 1, 2]) as bigint) as segment_id, unnest([0, 10, 30]) as a, unnest([10, 30, 1000]) as b from c)"""
+
+
+def _segments(long: DataFrame) -> DataFrame:
+    parts = F.array(*[F.struct(F.lit(i).cast("long").alias("segment_id"), F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end")) for i, (a, b) in enumerate([(0, 10), (10, 30), (30, 1000)])])
+    return long.select("signal_id").distinct().select("signal_id", F.explode(parts).alias("p")).select("signal_id", "p.*")
+
+
+def _vectors(name: str, aggregation: str, oracle: str) -> None:
+    @query(f"vectors_{name}", f"{SEGMENTS} select g.signal_id, g.segment_id, round({oracle}, 6) + 0.0 as value from g left join s on s.signal_id = g.signal_id and s.n >= a and s.n < b and b <= c group by 1, 2")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        long = events(spark, sf_dir)
+        features = long.select("signal_id", F.col("n").alias("frame"), "value")
+        return assemble.vectors(features, _segments(long), aggregation, ["value"]).select("signal_id", "segment_id", r("value").alias("value"))
+
+
+_vectors("mean", "mean", "avg(v)")
+_vectors("std", "std", "stddev_pop(v)")
+_vectors("median", "median", "median(v)")
+_vectors("max", "max", "max(v)")
+
+
+def _sequences(name: str, truncate: str, first: str) -> None:
+    @query(f"sequences_{name}", f"""with {S}, {C}, g as (select signal_id, {first} as f, unnest(generate_series(0, 59)) as step from c)
+        select g.signal_id, g.step, round(coalesce(s.v, -1.0), 6) + 0.0 as value from g left join s on s.signal_id = g.signal_id and s.n = g.f + g.step""")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = assemble.sequences(events(spark, sf_dir).withColumnRenamed("n", "frame"), ["value"], 60, -1.0, truncate)
+        return rows.select("signal_id", "step", r("value").alias("value"))
+
+
+_sequences("pad", "post", "0")
+_sequences("trunc_pre", "pre", "greatest(0, c - 60)")
+
+
+@query("image_minmax", f"with {E} select signal_id, n, round((v - min(v) over (partition by signal_id)) / (max(v) over (partition by signal_id) - min(v) over (partition by signal_id)), 6) as value from e")
+def image_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir).withColumn("image", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("samples", i * 8 + 1, F.lit(8))))
+    return spread(rows, F.flatten(assemble.unit_range(F.col("image"))), "value")
+
+
+@query("image_bilinear", f"""with {E}, o as (select cast(unnest(generate_series(0, 3)) as bigint) as i), y as (select i, i * 7 / 3.0 as x, least(cast(floor(i * 7 / 3.0) as bigint), 7) as lo from o),
+    z as (select a.i * 4 + b.i as n, a.lo as rl, least(a.lo + 1, 7) as rh, a.x - a.lo as rw, b.lo as cl, least(b.lo + 1, 7) as ch, b.x - b.lo as cw from y a cross join y b)
+    select e1.signal_id, z.n, round((e1.v * (1 - cw) + e2.v * cw) * (1 - rw) + (e3.v * (1 - cw) + e4.v * cw) * rw, 6) + 0.0 as value from z
+    join e e1 on e1.n = rl * 8 + cl join e e2 on e2.signal_id = e1.signal_id and e2.n = rl * 8 + ch join e e3 on e3.signal_id = e1.signal_id and e3.n = rh * 8 + cl join e e4 on e4.signal_id = e1.signal_id and e4.n = rh * 8 + ch""")
+def image_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir).withColumn("image", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("samples", i * 8 + 1, F.lit(8))))
+    return spread(rows, F.flatten(assemble.resize(F.col("image"), (8, 8), (4, 4))), "value")
+
+
+# -- time windows -------------------------------------------------------------------
+
+
+@query("tumbling", "select user_id, time_bucket(interval '6 hours', ts, timestamp '1970-01-01') as start, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = time_windows.tumbling(table(spark, sf_dir, "events"), "ts", ["user_id"], "6 hours", "value")
+    return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", r("total", 4).alias("total"))
+
+
+@query("sliding", """with g as (select user_id, value, unnest([time_bucket(interval '3 hours', ts, timestamp '1970-01-01'), time_bucket(interval '3 hours', ts, timestamp '1970-01-01') - interval '3 hours']) as start from events)
+    select user_id, start, count(*) as n, round(max(value), 4) as high from g group by 1, 2""")
+def sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = time_windows.tumbling(table(spark, sf_dir, "events"), "ts", ["user_id"], "6 hours", "value", "3 hours")
+    return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", r("high", 4).alias("high"))
+
+
+@query("session", """with l as (select *, case when ts < lag(ts) over (partition by user_id order by ts) + interval '2 hours' then 0 else 1 end as fresh from events),
+    g as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as grp from l)
+    select user_id, min(ts) as start, max(ts) + interval '2 hours' as "end", count(*) as n from g group by user_id, grp""")
+def session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = time_windows.sessions(table(spark, sf_dir, "events"), "ts", ["user_id"], "2 hours", "value")
+    return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+# -- tabular ----------------------------------------------------------------------
+
+
+@query("filter_expr", "select event_id, user_id, value from events where value > 10 and value <= 60 and event_type in ('click', 'view') and not user_id % 2 = 1")
+def filter_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tabular.filter_rows(table(spark, sf_dir, "events"), "10 < value <= @top and `event_type` in ['click', 'view'] and not user_id % 2 == 1", {"top": 60})
+    return rows.select("event_id", "user_id", "value")
+
+
+@query("expr_eval", "select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax) + sqrt(l_quantity) - pow(l_discount, 2), 7) as result from lineitem")
+def expr_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tabular.transform(table(spark, sf_dir, "lineitem"), {"result": "l_extendedprice * (1 - l_discount) * (1 + l_tax) + sqrt(l_quantity) - l_discount ** 2"})
+    return rows.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), r("result", 7).alias("result"))
+
+
+@query("math_range", "select round(i * 0.25 - 5, 6) as x, round(sin(i * 0.25 - 5) * exp(-abs(i * 0.25 - 5) / 4) + pi(), 6) as result from (select unnest(generate_series(0, 39)) as i)")
+def math_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tabular.math_range(spark, "sin(x) * exp(-abs(x) / 4) + pi", -5, 5, 0.25).select(r("x").alias("x"), r("result").alias("result"))
+
+
+@query("select_rename_drop", "select c_custkey as id, round(c_acctbal * 2, 4) as twice, c_mktsegment from customer")
+def select_rename_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tabular.transform(table(spark, sf_dir, "customer"), {"twice": "c_acctbal * 2"}, ["c_name"], {"c_custkey": "id"}, ["id", "twice", "c_mktsegment"])
+    return rows.withColumn("twice", r("twice", 4))
+
+
+@query("sql_bind", "select c_mktsegment, count(*) as n from customer where c_acctbal > 1000 group by 1")
+def sql_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tabular.run_sql(table(spark, sf_dir, "customer"), "select c_mktsegment, count(*) as n from df where c_acctbal > :low group by 1", {"low": 1000})
+
+
+@query("describe", """select 'c_custkey' as "column", count(*) as n, count(c_custkey) as n_present, count(distinct c_custkey) as n_distinct, round(avg(c_custkey), 4) as mean, round(max(c_custkey), 4) as high from customer
+    union all select 'c_acctbal', count(*), count(c_acctbal), count(distinct c_acctbal), round(avg(c_acctbal), 4), round(max(c_acctbal), 4) from customer
+    union all select 'c_mktsegment', count(*), count(c_mktsegment), count(distinct c_mktsegment), null, null from customer""")
+def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tabular.describe(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"))
+    return rows.select("column", "n", "n_present", "n_distinct", r("mean", 4).alias("mean"), r("max", 4).alias("high"))
+
+
+@query("join_range", """select o_orderkey, c.lo from orders o join (select unnest([0, 50000, 100000, 200000]) as lo, unnest([50000, 100000, 200000, 600000]) as hi) c on o_totalprice >= lo and o_totalprice < hi""")
+def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bands = spark.createDataFrame([(0, 0, 50000), (0, 50000, 100000), (0, 100000, 200000), (0, 200000, 600000)], "k int, lo int, hi int")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.lit(0).alias("k"))
+    return tabular.range_join(orders, bands, ["k"], "o_totalprice", "lo", "hi", 50000.0).select("o_orderkey", "lo")
+
+
+@query("join_as_of", """select a.event_id, max(b.event_id) as previous_id from events a left join events b on b.user_id = a.user_id and b.event_type = 'click' and b.event_id <= a.event_id where a.event_type <> 'click' group by 1""")
+def join_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    left, right = rows.filter("event_type <> 'click'").drop("event_type"), rows.filter("event_type = 'click'").withColumn("previous_id", F.col("event_id")).drop("event_type")
+    return tabular.as_of_join(left, right, ["user_id"], "event_id").select("event_id", "previous_id")
+
+
+@query("topk_per_group", "select n_nationkey, c_custkey from (select c_nationkey as n_nationkey, c_custkey, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as k from customer) where k <= 3")
+def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tabular.top_k(table(spark, sf_dir, "customer"), ["c_nationkey"], [F.desc("c_acctbal"), F.asc("c_custkey")], 3)
+    return rows.select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey")
+
+
+def _sql(name: str, spark_sql: str, oracle: str) -> None:
+    @query(name, oracle)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        names = [t for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events") if f"{{{t}}}" in spark_sql]
+        return spark.sql(spark_sql, **{t: table(spark, sf_dir, t) for t in names})
+
+
+for _name, (_spark, _duck) in TABULAR.items():
+    _sql(_name, _spark, _duck)
+
+from brinewave.plans import kernel_queries  # noqa: E402,F401
