@@ -9,11 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brinewave.functions.dialect import from_sqlite
 from brinewave.functions.expressions import condition, expression
 
 
-def run_sql(df: DataFrame, query: str, args: dict | None = None, name: str = "df") -> DataFrame:
-    """A SELECT over ``df`` under the name ``df``; named parameters come from ``args``."""
+def run_sql(df: DataFrame, query: str, args: dict | None = None, name: str = "df", dialect: str = "spark") -> DataFrame:
+    """A SELECT over ``df`` under the name ``df``; named parameters come from ``args``.
+
+    ``dialect`` may be ``sqlite``.
+    """
+    query = from_sqlite(query) if dialect == "sqlite" else query
     spark, view = df.sparkSession, f"frame_{uuid.uuid4().hex}"
     df.createOrReplaceTempView(view)
     try:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from brinewave import signals
 from brinewave.functions import arrays as A
-from brinewave.operators import assemble, effects, framing, scaling, segment, spectral, tabular, time_features, time_windows, transforms
+from brinewave.operators import assemble, effects, extract, framing, plots, scaling, segment, spectral, tabular, time_features, time_windows, transforms
 from brinewave.plans.sql import TABULAR
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -338,7 +338,7 @@ def _point(expr: str, digits: int = 6) -> str:
     return f"select signal_id, n, round({expr}, {digits}) + 0.0 as value from s"
 
 
-def _comb(lag: int, feedback: float, wet: float, dry: float) -> str:
+def _comb(lag: int, feedback: float | str, wet: float, dry: float) -> str:
     return f"""select a.signal_id, a.n, round(any_value(a.v) * {dry} + {wet} * coalesce(sum(pow({feedback}, (a.n - b.n) // {lag} - 1) * b.v), 0), 5) + 0.0 as value
         from s a left join s b on a.signal_id = b.signal_id and b.n < a.n and (a.n - b.n) % {lag} = 0 group by 1, 2"""
 
@@ -350,7 +350,7 @@ _effect("tremolo_triangle", _point("v * (0.4 + 0.6 * case when n * 0.03125 - flo
 _effect("tremolo_square", _point("v * (0.4 + 0.6 * sign(sin(2 * pi() * (n / 100.0 * 7.3))))"), lambda d: effects.tremolo(d, 100.0, 7.3, 0.6, "square"))
 _effect("delay_feedback", _comb(5, 0.4, 0.5, 1.0), lambda d: effects.delay(d, 100.0, 0.05, 0.4, 0.5, 1.0), 5)
 _effect("chorus_compat", _comb(5, 0.2, 0.5, 1.0), lambda d: effects.chorus(d, 100.0), 5)
-_effect("flanger_compat", _comb(3, 0.3, 0.5, 0.5), lambda d: effects.flanger(d, 100.0, depth=0.0005, delay=0.001, feedback=0.3), 5)
+_effect("flanger_compat", _comb(3, "(1.0 / 3)", 0.5, 0.5), lambda d: effects.flanger(d, 100.0, depth=0.0005, delay=0.001, feedback=1 / 3), 5)
 _effect("amplify", _point("v * 2"), lambda d: effects.amplify(d))
 _effect("square", _point("v * v", 4), effects.square, 4)
 _effect("clip_pcm", _point("least(greatest(v, -1.0), 1.0)"), effects.clip_pcm)
@@ -582,6 +582,58 @@ def _sql(name: str, spark_sql: str, oracle: str) -> None:
         return spark.sql(spark_sql, **{t: table(spark, sf_dir, t) for t in names})
 
 
+@query("sqlite_dialect", "select c_mktsegment as segment, coalesce(sum(c_acctbal), 0) as total, string_agg(c_name, ',' order by c_name) is not null as named from customer where c_name ilike 'customer%' group by 1")
+def sqlite_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tabular.run_sql(table(spark, sf_dir, "customer"), """select "c_mktsegment" as segment, total(c_acctbal) as total, group_concat(c_name, ',') is not null as named from df where c_name like 'CUSTOMER%' group by 1""", dialect="sqlite")
+    return rows.withColumn("total", F.round("total", 2))
+
+
+ORACLES["sqlite_dialect"] = ORACLES["sqlite_dialect"].replace("coalesce(sum(c_acctbal), 0)", "round(coalesce(sum(c_acctbal), 0), 2)")
+
+
+# -- the feature driver and plot data ------------------------------------------------
+
+
+@query("extract_all")
+def extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    params = {"mfcc": {"n_mels": 8, "n_mfcc": 4}, "spectral_contrast": {"n_bands": 2, "fmin": 10.0}}
+    return extract.extract(events(spark, sf_dir), ["all"], 100.0, 16, 8, params=params)
+
+
+@query("extract_spectral", f"""{FRAMES}, t as (select signal_id, frame, k, k * 100.0 / 16 as f, sum(v * (0.5 - 0.5 * cos(2 * pi() * p / 16)) * cos(2 * pi() * k * p / 16)) as re,
+    sum(v * (0.5 - 0.5 * cos(2 * pi() * p / 16)) * sin(2 * pi() * k * p / 16)) as im from x cross join (select cast(unnest(generate_series(0, 8)) as bigint) as k) group by 1, 2, 3),
+    m as (select signal_id, frame, f, sqrt(re * re + im * im) as m from t), z as (select signal_id, frame, sum(f * m) / sum(m) as c from m group by 1, 2)
+    select signal_id, frame, round((frame * 8 + 8) / 100.0, 6) as time_s, round(max(c), 5) as spectral_centroid, round(sqrt(sum(pow(f - c, 2) * m) / sum(m)), 5) as spectral_bandwidth from m join z using (signal_id, frame) group by 1, 2""")
+def extract_spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = extract.extract(events(spark, sf_dir), ["spectral_bandwidth"], 100.0, 16, 8)
+    return rows.select("signal_id", "frame", r("time_s").alias("time_s"), r("spectral_centroid", 5).alias("spectral_centroid"), r("spectral_bandwidth", 5).alias("spectral_bandwidth"))
+
+
+@query("features_catalog")
+def features_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.catalog(spark)
+
+
+@query("spectrogram")
+def spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plots.spectrogram(events(spark, sf_dir), 100.0, 16, 8).withColumn("db", r("db", 4))
+
+
+@query("phase_unwrapped")
+def phase_unwrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plots.unwrapped_phase(spectral.bins(spectra(spark, sf_dir), N, FS, "signal_id")).withColumn("phase", r("phase", 5))
+
+
+@query("scalogram")
+def scalogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plots.scalogram(vectors(spark, sf_dir), N, 8).withColumn("magnitude", r("magnitude"))
+
+
+@query("waveform", f"with {S} select signal_id, round(n / 100.0, 6) as time_s, value from (select signal_id, n, v as value from s) where n < 20")
+def waveform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plots.waveform(events(spark, sf_dir), 100.0, 20).withColumn("time_s", r("time_s"))
+
+
 for _name, (_spark, _duck) in TABULAR.items():
     _sql(_name, _spark, _duck)
 
