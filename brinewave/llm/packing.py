@@ -22,7 +22,7 @@ import os
 import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,30 +37,80 @@ PARTS = re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 WHOLE = 1 << 60  # sequence ids of whole sequences start here, those of a level at level << 52
 
 
-class Ids(dict):
-    """Part of a text -> the bytes of its ids; forgets all once there are many parts."""
+#: Letters whose lower case is one letter and stays in place, then punctuation without apostrophes:
+#: the tokenizer, too, takes such a part's letters and punctuation apart.
+SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+RARE_SPACE = re.compile(r"[\x1c-\x1f]")
 
-    def __init__(self, tokenizer, most: int = 250_000):
+
+def parts_of(text: str) -> list[str]:
+    """The parts between white space; str.split() also splits at four control characters."""
+    return PARTS.findall(text) if RARE_SPACE.search(text) else text.split()
+
+
+class Ids:
+    """Part of a text -> the bytes of its ids; each table forgets all once it is large."""
+
+    def __init__(self, tokenizer, most: int = 400_000):
         self.tokenizer, self.most = tokenizer, most
+        self.parts: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def add(self, new: Iterable[str]) -> None:
+        """Make the ids of parts that are not known yet."""
+        if len(self.runs) > 2 * self.most:
+            self.runs.clear()
+        made = {}
+        for p in new:
+            m = SIMPLE.fullmatch(p)
+            made[p] = (m[1].lower(), *filter(None, [m[2]])) if m else (p,)
+        todo = list(dict.fromkeys(r for rs in made.values() for r in rs if r not in self.runs))
+        for at in range(0, len(todo), 5_000):
+            some = todo[at : at + 5_000]
+            for r, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.runs[r] = np.array(e.ids, "<u4").tobytes()
+        runs = self.runs
+        self.parts.update({p: runs[rs[0]] if len(rs) == 1 else runs[rs[0]] + runs[rs[1]] for p, rs in made.items()})
+
+    def encode(self, texts: list[str], step: int = 100_000) -> list[bytes]:
+        """The ids of whole texts; at most about ``step`` parts are new at a time."""
+        out: list[bytes] = []
+        some: list[list[str]] = []
+
+        def finish() -> None:
+            if len(self.parts) > self.most:
+                self.parts.clear()
+            known = self.parts
+            if new := {p for parts in some for p in parts if p not in known}:
+                self.add(new)
+            out.extend(b"".join(map(self.parts.__getitem__, parts)) for parts in some)
+            some.clear()
+
+        held = 0
+        for text in texts:
+            parts = parts_of(text)
+            some.append(parts)
+            held += len(parts)
+            if held > step:
+                finish()
+                held = 0
+        finish()
+        return out
+
+
+_KEPT: dict[int, Ids] = {}
+
+
+def kept(tokenizer_json: str) -> Ids:
+    """The worker's table for this tokenizer; it lives as long as the worker does."""
+    key = zlib.crc32(tokenizer_json.encode())
+    if key not in _KEPT:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    def add(self, parts: list[str]) -> None:
-        if len(self) > self.most:
-            self.clear()
-        new = list(dict.fromkeys(p for p in parts if p not in self))
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self[p] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, text: str, step: int = 50_000) -> bytes:
-        parts = PARTS.findall(text)
-        out = []
-        for at in range(0, len(parts), step):
-            some = parts[at : at + step]
-            try:
-                out.extend([self[p] for p in some])
-            except KeyError:
-                self.add(some)
-                out.extend([self[p] for p in some])
-        return b"".join(out)
+        _KEPT.clear()
+        _KEPT[key] = Ids(Tokenizer.from_str(tokenizer_json))
+    return _KEPT[key]
 
 
 def pieces(df: DataFrame, tokenizer_json: str, limit: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
@@ -69,18 +119,13 @@ def pieces(df: DataFrame, tokenizer_json: str, limit: int = 4096, end_id: int =
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        seen, last = Ids(Tokenizer.from_str(shared.value)), np.array([end_id], "<u4").tobytes()
+        seen, last = kept(shared.value), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                texts = [t.as_py() or "" for t in part["text"]]
-                seen.add([p for t in texts if len(t) < 20_000 for p in PARTS.findall(t)])
                 rows, place = [], []
-                for i, text in enumerate(texts):
-                    data = seen.encode(text) + last
+                for i, data in enumerate(seen.encode([t.as_py() or "" for t in part["text"]])):
+                    data += last
                     for k, start in enumerate(range(0, len(data), 4 * limit)):
                         own = data[start : start + 4 * limit]
                         place.append(i)
