@@ -4,9 +4,10 @@ A document's set has its distinct shingles of ``words`` words (fewer words: the
 whole sequence), as 64-bit hashes. Documents with equal sets are one node. Two
 nodes link if 100 * intersection >= ``percent`` * union. The steps:
 
-1. Shingles are counted over all documents in 2**``bits`` buckets, a table of
-   fixed size. It orders shingles from rare to frequent. Any order that all
-   documents share is right; a good one makes few candidates.
+1. In how many documents words occur is counted over all documents in 2**``bits``
+   buckets, a table of fixed size. A shingle is no more frequent than its rarest
+   word; by that word's count shingles are ordered from rare to frequent. Any
+   order that all documents share is right; a good one makes few candidates.
 2. A set's prefix are its first n - ceil(percent * n / 100) + 1 shingles: linked
    sets share one there. Rare shingles are indexed alone. Where a prefix holds
    frequent ones it is extended by one shingle for each of ``groups`` hash groups;
@@ -17,7 +18,8 @@ nodes link if 100 * intersection >= ``percent`` * union. The steps:
    in each round; links found join nodes to components, and buckets within one
    component are done. So a large group of near copies takes a few comparisons a
    member, not one a pair. What then still shares a bucket across components is
-   compared without exception.
+   compared without exception, in blocks of bounded size that give only pairs
+   which may link.
 4. Sizes and parity bitmaps (their difference bounds the sets' difference from
    below) drop pairs that cannot link; the rest is verified on whole sets.
 5. Components grow by alternating large-star and small-star steps.
@@ -31,7 +33,7 @@ doc_id and text are looked at; ``distinct`` keeps all columns.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,17 +67,31 @@ class Hashes(dict):
         return out
 
 
-def shingles(text: str, words: int, seen: Hashes) -> np.ndarray:
-    """The distinct shingles' hashes, in order."""
-    found = text.encode("utf-8", "surrogatepass").lower().split()
-    h = np.array([seen[w] for w in found], np.uint64)
-    k = min(words, len(h))
+def word_hashes(text: str, seen: Hashes) -> np.ndarray:
+    return np.array([seen[w] for w in text.encode("utf-8", "surrogatepass").lower().split()], np.uint64)
+
+
+def shingles(words: np.ndarray, k: int, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles' hashes in order, and each one's frequency class: that of its rarest word."""
+    k = min(k, len(words))
     if not k:
-        return h
-    out = np.full(len(h) - k + 1, k, np.uint64)
+        return words, np.zeros(0, np.uint8)
+    n = len(words) - k + 1
+    out = np.full(n, k, np.uint64)
     for i in range(k):
-        out = mix(out * ODD + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+        out = mix(out * ODD + words[i : n + i])
+    if rank is None:
+        return np.unique(out), np.zeros(0, np.uint8)
+    own = rank[bucket(words, len(rank))]
+    least = own[:n].copy()
+    for i in range(1, k):
+        np.minimum(least, own[i : n + i], out=least)
+    out, first = np.unique(out, return_index=True)
+    return out, least[first]
+
+
+def bucket(hashes: np.ndarray, size: int) -> np.ndarray:
+    return (hashes >> np.uint64(65 - size.bit_length())).astype(np.int64)
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -83,12 +99,11 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def signatures(s: np.ndarray, rank: np.ndarray, bits: int, percent: int, groups: int) -> np.ndarray:
-    """What a set is indexed by; ``rank`` has the frequency class of each bucket, 0 for rare."""
+def signatures(s: np.ndarray, kind: np.ndarray, often: int, percent: int, groups: int) -> np.ndarray:
+    """What a set is indexed by; ``kind`` has its shingles' frequency classes, frequent from ``often`` on."""
     n = len(s)
     if not n:
         return s
-    kind = rank[(s >> np.uint64(64 - bits)).astype(np.int64)]
     order = np.lexsort((s, kind))
     s, kind = s[order], kind[order]
     plain = n - least_overlap(n, percent) + 1
@@ -97,15 +112,15 @@ def signatures(s: np.ndarray, rank: np.ndarray, bits: int, percent: int, groups:
     if n <= small * 100 // percent + 1:
         out.append(mix(s[:plain] ^ np.uint64(0x5151)))
     if n >= small:
-        if not kind[plain - 1]:
+        if kind[plain - 1] < often:
             out.append(mix(s[:plain] ^ np.uint64(0xA7A7)))
         else:
-            p, rare = s[: plain + groups], kind[: plain + groups] == 0
+            p, rare = s[: plain + groups], kind[: plain + groups] < often
             out.append(mix(p[rare] ^ np.uint64(0xA7A7)))
-            often = p[~rare]
-            group = (often >> np.uint64(7)) % np.uint64(groups)
+            rest = p[~rare]
+            group = (rest >> np.uint64(7)) % np.uint64(groups)
             for g in np.unique(group):
-                own = often[group == g]
+                own = rest[group == g]
                 i, j = np.triu_indices(len(own), 1)
                 out.append(mix(mix(own[i] ^ np.uint64(0xC3C3)) + own[j] * ODD))
     return np.unique(np.concatenate(out))
@@ -125,8 +140,8 @@ def node_of(s: np.ndarray, salt: int) -> tuple[int, int, int]:
     return tuple(x - (1 << 64) if x >= 1 << 63 else x for x in (name, a, b))
 
 
-def frequencies(rows: DataFrame, words: int, bits: int) -> np.ndarray:
-    """How many of the documents' shingles are in each bucket.
+def frequencies(rows: DataFrame, bits: int) -> np.ndarray:
+    """In how many documents the words of each bucket occur.
 
     Tasks send their counts in compressed blocks, summed in two steps.
     """
@@ -136,9 +151,9 @@ def frequencies(rows: DataFrame, words: int, bits: int) -> np.ndarray:
         seen, total, n = Hashes(), np.zeros(1 << bits, np.int64), 0
         for batch in batches:
             for text in batch["text"]:
-                s = shingles(text.as_py() or "", words, seen)
-                np.add.at(total, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
-                n += len(s)
+                met = bucket(np.unique(word_hashes(text.as_py() or "", seen)), 1 << bits)
+                np.add.at(total, met, 1)
+                n += len(met)
         if n:
             parts = total.reshape(-1, span)
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([n % 256] * len(parts), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["block", "part", "counts"])
@@ -157,27 +172,27 @@ def frequencies(rows: DataFrame, words: int, bits: int) -> np.ndarray:
     return out
 
 
-def classes(counts: np.ndarray, least: int = 64) -> np.ndarray:
-    """0 for buckets near the mean, else how often their count doubles what chance leaves there."""
-    usual = 2 * counts.mean() + least
-    return np.where(counts < usual, 0, 1 + np.log2(np.maximum(counts, 1) / usual)).astype(np.uint8)
+def classes(counts: np.ndarray, least: int = 256) -> tuple[np.ndarray, int]:
+    """Half octaves of the counts, and the class from which a word is frequent."""
+    octaves = lambda c: np.round(2 * np.log2(1 + c)).astype(np.uint8)
+    return octaves(counts), int(octaves(np.array(max(least, 8 * counts.mean()))))
 
 
-def described(rows: DataFrame, keep: list[str], rank: np.ndarray, words: int, bits: int, percent: int, groups: int, salt: int) -> DataFrame:
+def described(rows: DataFrame, keep: list[str], order: tuple[np.ndarray, int], words: int, percent: int, groups: int, salt: int) -> DataFrame:
     """``keep`` and n, node, _a, _b, bits, sigs of every row."""
     from pyspark.sql import types as T
 
-    shared = rows.sparkSession.sparkContext.broadcast(rank)
+    shared = rows.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, rank = Hashes(), shared.value
+        seen, (rank, often) = Hashes(), shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [shingles(t.as_py() or "", words, seen) for t in part["text"]]
-                names = [node_of(s, salt) for s in sets]
-                columns = [pa.array(map(len, sets), pa.int64()), *(pa.array([x[i] for x in names], pa.int64()) for i in range(3))]
-                lists = [(bitmap(s) for s in sets), (signatures(s, rank, bits, percent, groups).view(np.int64) for s in sets)]
+                sets = [shingles(word_hashes(t.as_py() or "", seen), words, rank) for t in part["text"]]
+                names = [node_of(s, salt) for s, _ in sets]
+                columns = [pa.array((len(s) for s, _ in sets), pa.int64()), *(pa.array([x[i] for x in names], pa.int64()) for i in range(3))]
+                lists = [(bitmap(s) for s, _ in sets), (signatures(s, kind, often, percent, groups).view(np.int64) for s, kind in sets)]
                 columns += [pa.array(list(x), pa.list_(pa.int64())) for x in lists]
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), *columns], [*keep, "n", "node", "_a", "_b", "bits", "sigs"])
 
@@ -189,11 +204,65 @@ def may_link(n1: Column, n2: Column, percent: int) -> Column:
     return F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
 
 
-def bits_allow(b1: Column, b2: Column, n1: Column, n2: Column, percent: int) -> Column:
-    """Whether the bitmaps differ in no more places than linked sets could."""
-    differ = sum(F.bit_count(b1[i].bitwiseXOR(b2[i])) for i in range(BITMAP))
+def differ(b1: Column, b2: Column) -> Column:
+    """In how many places two bitmaps differ."""
+    return sum(F.bit_count(b1[i].bitwiseXOR(b2[i])) for i in range(BITMAP))
+
+
+def may_differ(n1: Column, n2: Column, percent: int) -> Column:
+    """In how many shingles linked sets of these sizes can differ at most."""
     both = n1 + n2
-    return differ <= both - 2 * F.ceil(both * percent / (100.0 + percent) - 1e-9)
+    return both - 2 * F.ceil(both * percent / (100.0 + percent) - 1e-9)
+
+
+def near_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of nodes of one block, of different labels, that size and bitmap allow.
+
+    ``rows`` (sig, i, j, node, n, label, bits) are sorted by block; a block is of bounded
+    size. All its pairs are compared here, on 64 bytes each, and only those that may
+    link leave.
+    """
+
+    def pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, label: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        found, at, d = [], np.arange(len(key)), 0
+        while len(at):
+            d += 1
+            at = at[at + d < len(key)]
+            at = at[key[at] == key[at + d]]
+            x, y = at, at + d
+            ok = (label[x] != label[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
+            x, y = x[ok], y[ok]
+            both = n[x] + n[y]
+            most = both - 2 * -(-both * percent // (100 + percent))
+            ok = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1) <= most
+            x, y = x[ok], y[ok]
+            found.append(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], axis=1))
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            sig, i, j, node, n, label = (table[c].to_numpy() for c in ("sig", "i", "j", "node", "n", "label"))
+            new = np.flatnonzero((sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            stop = len(sig) if last else (int(new[-1]) if len(new) else 0)
+            held[:] = [] if last else table.slice(stop).combine_chunks().to_batches()
+            if stop:
+                key = np.zeros(len(sig), np.int64)
+                key[new] = 1
+                bits = table["bits"].combine_chunks().flatten().to_numpy().reshape(-1, BITMAP).view(np.uint64)
+                out = pairs(np.cumsum(key)[:stop], node[:stop], n[:stop], label[:stop], bits[:stop])
+                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= 40_000:
+                yield from flush(False)
+        if held:
+            yield from flush(True)
+
+    return rows.select("sig", "i", "j", "node", "n", "label", "bits").mapInArrow(run, "a long, b long")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -243,17 +312,13 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut(met.select("node", "n", "bits", F.coalesce("root", "label").alias("label")), "labels")
 
 
-def linked_nodes(nodes: DataFrame, index: DataFrame, sets: DataFrame, percent: int, rounds: int) -> DataFrame:
+def linked_nodes(nodes: DataFrame, index: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, rounds: int, block_rows: int = 2_000) -> DataFrame:
     """(node, label) of the indexed nodes; linked nodes share a label."""
     labels = cut(nodes.select("node", "n", "bits", F.col("node").alias("label")), "labels")
     done: DataFrame | None = None
 
-    def fit(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that size and bitmap allow and that were not verified yet."""
-        for x in ("a", "b"):
-            pairs = pairs.join(labels.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")), x)
-        ok = may_link(F.col("na"), F.col("nb"), percent) & bits_allow(F.col("bitsa"), F.col("bitsb"), F.col("na"), F.col("nb"), percent)
-        pairs = pairs.filter(ok).select("a", "b")
+    def fresh(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that were not verified yet."""
         return pairs if done is None else pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
 
     for round_ in range(rounds + 1):
@@ -262,18 +327,26 @@ def linked_nodes(nodes: DataFrame, index: DataFrame, sets: DataFrame, percent: i
             who = F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), "node", "n", "label")
             lead = members.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(who).alias("lead")).filter("low < high")
             near = members.join(lead.select("sig", F.col("lead.node").alias("lnode"), F.col("lead.n").alias("ln"), F.col("lead.label").alias("llabel")), "sig")
-            near = near.filter((F.col("label") != F.col("llabel")) & may_link(F.col("n"), F.col("ln"), percent))
-            pairs = fit(near.select(F.least("node", "lnode").alias("a"), F.greatest("node", "lnode").alias("b")).distinct())
+            near = near.filter((F.col("label") != F.col("llabel")) & may_link(F.col("n"), F.col("ln"), percent)).select("node", "lnode").distinct()
+            for x, y in (("node", "x"), ("lnode", "y")):
+                near = near.join(labels.select(F.col("node").alias(x), F.col("n").alias(f"n{y}"), F.col("bits").alias(f"b{y}")), x)
+            near = near.withColumn("d", differ(F.col("bx"), F.col("by"))).filter(F.col("d") <= may_differ(F.col("nx"), F.col("ny"), percent))
+            near = fresh(near.select("node", "d", F.least("node", "lnode").alias("a"), F.greatest("node", "lnode").alias("b")))
+            # of its buckets' leaders a node is compared with the nearest, in this round
+            pairs = near.groupBy("node").agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
         else:
-            # components that share a bucket; each pair of them once, then their members
-            held = members.groupBy("sig", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-            mixed = held.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("sig")
-            held = held.join(mixed, "sig", "left_semi")
-            x, y = (held.select("sig", F.col("label").alias(f"l{i}"), F.col("lo").alias(f"lo{i}"), F.col("hi").alias(f"hi{i}")) for i in "ab")
-            met = x.join(y, "sig").filter((F.col("la") < F.col("lb")) & (F.col("hia") * 100 >= F.col("lob") * percent) & (F.col("hib") * 100 >= F.col("loa") * percent)).select("la", "lb").distinct()
-            a, b = (labels.select(F.col("label").alias(f"l{i}"), F.col("node").alias(i)) for i in "ab")
-            pairs = fit(met.join(a, "la").join(b, "lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        tested = cut(verify(pairs, sets, percent), f"tested{round_}")
+            # what still shares a bucket across components, block by block
+            mixed = members.groupBy("sig").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("m")).filter("l < h")
+            mixed = mixed.select("sig", F.ceil(F.col("m") / block_rows).cast("int").alias("nb"))
+            rows = members.join(mixed, "sig").withColumn("k", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+            rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+            rows = rows.select("sig", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "node", "n", "label").join(labels.select("node", "bits"), "node")
+            rows = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+            pairs = fresh(near_pairs(rows, percent).distinct())
+        pairs = cut(pairs, f"pairs{round_}")
+        if not pairs.limit(1).count():
+            continue
+        tested = cut(verify(pairs, sets_of(pairs), percent), f"tested{round_}")
         links = tested.filter("linked")
         if links.limit(1).count():
             labels = relabel(labels, links)
@@ -281,13 +354,13 @@ def linked_nodes(nodes: DataFrame, index: DataFrame, sets: DataFrame, percent: i
     return labels
 
 
-def join(df: DataFrame, words: int = 5, percent: int = 80, bits: int = 20, groups: int = 32, rounds: int = 2, broadcast_rows: int = 500_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def join(df: DataFrame, words: int = 5, percent: int = 80, bits: int = 20, groups: int = 32, rounds: int = 3, broadcast_rows: int = 500_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, n (the set's size), node and label of every row; n is 0 and label null for empty sets."""
     text = df.select(*dict.fromkeys([*keep, "doc_id", "text"]))
-    rank = classes(frequencies(text, words, bits))
+    order = classes(frequencies(text, bits))
     salt = 0
     while True:
-        docs = cut(described(text, list(dict.fromkeys([*keep, "doc_id"])), rank, words, bits, percent, groups, salt), "described")
+        docs = cut(described(text, list(dict.fromkeys([*keep, "doc_id"])), order, words, percent, groups, salt), "described")
         names = docs.filter("n > 0").groupBy("node").agg(F.min("_a").alias("a"), F.max("_a").alias("b"), F.min("_b").alias("c"), F.max("_b").alias("d"))
         if not names.filter("a <> b or c <> d").limit(1).count():
             break
@@ -296,23 +369,29 @@ def join(df: DataFrame, words: int = 5, percent: int = 80, bits: int = 20, group
     entries = docs.select(F.explode("sigs").alias("sig"), "node")
     shared = entries.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("sig")
     index = cut(entries.join(shared, "sig").distinct(), "index")
-    named = index.select("node").distinct()
-    met = docs.join(named, "node", "left_semi")
-    nodes = cut(met.groupBy("node").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min(F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))).alias("_id")), "nodes")
-    ids = nodes.select("_id").distinct()
-    few = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
-    source = text.withColumn("_id", F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))).join(F.broadcast(ids) if few else ids, "_id", "left_semi")
+    met = docs.join(index.select("node").distinct(), "node", "left_semi")
+    least = F.lit(-(2**63)).cast("long")
+    nodes = cut(met.groupBy("node").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min(F.coalesce("doc_id", least)).alias("_id")), "nodes")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                found = [shingles(t.as_py() or "", words, seen) for t in batch["text"].slice(at, 200)]
+                found = [shingles(word_hashes(t.as_py() or "", seen), words)[0] for t in batch["text"].slice(at, 200)]
                 yield pa.RecordBatch.from_arrays([pa.array([node_of(s, salt)[0] for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "items"])
 
-    sets = source.select("text").mapInArrow(whole, "node long, items binary")
-    sets = cut(sets.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    labels = linked_nodes(nodes, index, sets, percent, rounds).select("node", "label")
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """(node, items): the whole sets of the pairs' nodes, read from one document of each."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "_id"), "node")
+        wanted = cut(wanted, "wanted")
+        ids = wanted.select("_id").distinct()
+        few = ids.limit(broadcast_rows + 1).count() <= broadcast_rows
+        source = text.withColumn("_id", F.coalesce("doc_id", least)).join(F.broadcast(ids) if few else ids, "_id", "left_semi")
+        sets = source.select("text").mapInArrow(whole, "node long, items binary")
+        # an id may have several documents, so a node several rows
+        return cut(sets.join(F.broadcast(wanted.select("node")) if few else wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+    labels = linked_nodes(nodes, index, sets_of, percent, rounds).select("node", "label")
     out = docs.drop("sigs", "bits", "_a", "_b").join(labels, "node", "left")
     return out.withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "node")))
 
