@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 # Element names of HTML by their kind.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style iframe noframes noembed xmp title textarea".split())
+HEAD = set("base basefont bgsound head link meta noframes noscript script style template title".split())
 UNSEEN = set("head template noscript object svg math canvas select datalist audio video button".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = set(
@@ -124,6 +125,8 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
 
     def put(piece: str) -> None:
         nonlocal linked
+        if opened["head"] and stack[-1][0] == "head" and piece.strip():
+            close(("head",))
         if not unseen:
             text.append(piece)
             if depth_a:
@@ -150,6 +153,8 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
                 if name == "textarea":
                     flush()
                 continue
+            if opened["head"] and name not in HEAD:
+                close(("head",))  # its end may be left out
             if name not in INLINE:
                 flush()
                 if name in CLOSES_P:
@@ -174,7 +179,7 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
             if opened[name]:
                 close((name,))
         elif page.startswith("<!--", lt):
-            done = page.find("-->", lt + 4)
+            done = page.find("-->", lt + 2)
             at = done + 3 if done >= 0 else size
         elif after in ("!", "?", "/"):
             at = page.find(">", lt) + 1 or size

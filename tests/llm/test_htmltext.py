@@ -42,6 +42,8 @@ def test_blocks():
     assert texts('<div title="a > b">x</div><p title=\'"\'>y</p></p></nav><textarea>t</textarea><title>T</title>z') == ["x", "y", "z"]
     assert texts("<p") == [] and texts("<p>a<!-- open") == ["a"] and texts("<a href='x>y") == ["y"] and texts("<script>x") == []
     assert texts("<noscript>n</noscript><select><option>o</select><button>b</button>k") == ["k"]
+    assert texts("<html><head><title>T</title><meta x><body><p>a") == ["a"] and texts("<head><script>1</script>b<p>c") == ["b", "c"]
+    assert texts("a<!-->b<!-- c -->d") == ["abd"]
     assert len(texts("<div>" * 20000 + "deep")) == 1 and len(texts("<p>w" * 30000)) == 30000
 
 
