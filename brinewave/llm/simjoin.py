@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brinewave.llm.common import cut, drop_cut
+from brinewave.llm.common import batches_of, cut, drop_cut
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BITMAP = 8  # longs
@@ -57,7 +57,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Hashes(dict):
     """Word -> 64-bit hash; forgets all once there are many words."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 300_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
@@ -346,7 +346,9 @@ def linked_nodes(nodes: DataFrame, index: DataFrame, sets_of: Callable[[DataFram
         pairs = cut(pairs, f"pairs{round_}")
         if not pairs.limit(1).count():
             continue
-        tested = cut(verify(pairs, sets_of(pairs), percent), f"tested{round_}")
+        sets = sets_of(pairs)
+        with batches_of(pairs.sparkSession, 100):
+            tested = cut(verify(pairs, sets, percent), f"tested{round_}")
         links = tested.filter("linked")
         if links.limit(1).count():
             labels = relabel(labels, links)
@@ -357,10 +359,12 @@ def linked_nodes(nodes: DataFrame, index: DataFrame, sets_of: Callable[[DataFram
 def join(df: DataFrame, words: int = 5, percent: int = 80, bits: int = 20, groups: int = 32, rounds: int = 3, broadcast_rows: int = 500_000, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, n (the set's size), node and label of every row; n is 0 and label null for empty sets."""
     text = df.select(*dict.fromkeys([*keep, "doc_id", "text"]))
-    order = classes(frequencies(text, bits))
+    with batches_of(df.sparkSession, 500):
+        order = classes(frequencies(text, bits))
     salt = 0
     while True:
-        docs = cut(described(text, list(dict.fromkeys([*keep, "doc_id"])), order, words, percent, groups, salt), "described")
+        with batches_of(df.sparkSession, 500):
+            docs = cut(described(text, list(dict.fromkeys([*keep, "doc_id"])), order, words, percent, groups, salt), "described")
         names = docs.filter("n > 0").groupBy("node").agg(F.min("_a").alias("a"), F.max("_a").alias("b"), F.min("_b").alias("c"), F.max("_b").alias("d"))
         if not names.filter("a <> b or c <> d").limit(1).count():
             break
@@ -389,7 +393,8 @@ def join(df: DataFrame, words: int = 5, percent: int = 80, bits: int = 20, group
         source = text.withColumn("_id", F.coalesce("doc_id", least)).join(F.broadcast(ids) if few else ids, "_id", "left_semi")
         sets = source.select("text").mapInArrow(whole, "node long, items binary")
         # an id may have several documents, so a node several rows
-        return cut(sets.join(F.broadcast(wanted.select("node")) if few else wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+        with batches_of(df.sparkSession, 500):
+            return cut(sets.join(F.broadcast(wanted.select("node")) if few else wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     labels = linked_nodes(nodes, index, sets_of, percent, rounds).select("node", "label")
     out = docs.drop("sigs", "bits", "_a", "_b").join(labels, "node", "left")
