@@ -4,13 +4,14 @@ Patterns find e-mail addresses, IP addresses, payment cards and phone numbers.
 The values found are the protected entities. Corpus co-occurrence then says how
 strongly a word near a mention reveals its entity: over all documents,
 
-    PMI(e, t) = log2(n_et * N / (n_e * n_t)),   IC(e) = log2(N / n_e),
+    PMI(e, t) = log2(n_et * N / (n_e * (n_t + 1))),   IC(e) = log2(N / n_e),
 
 with n_et the documents that have t within ``reach`` code points of a mention of
-e. PMI / IC is the disclosure of t: 1 if t occurs only beside e. Words that at
-least ``min_support`` documents have beside the same entity and that disclose
-more than ``generalise_at`` become a generalisation of their shape, those above
-``remove_at`` go, in the documents that hold the entity.
+e. PMI / IC is the disclosure of t: near 1 if t occurs only beside e. The one
+document added to n_t is what protects against chance: few documents speak for
+less than many, and none are too few to be looked at. Words that disclose at
+least ``generalise_at`` become a generalisation of their shape, those from
+``remove_at`` on go, in the documents that hold the entity.
 
 DataFrame functions only. Null texts are empty texts, with no spans. Equal rows
 get equal rows; ids may repeat or be null (texts are told apart by 128 bits of
@@ -151,18 +152,18 @@ def disclosures(df: DataFrame, near: DataFrame, mentions: DataFrame, min_support
     # even these are too many for the lower threshold, it need not be counted.
     beside = near.filter("term is not null").select("_h1", "_h2", "term").distinct().groupBy("term").agg(F.count("*").alias("m_t"))
     most = F.col("n_et") * F.pow(F.lit(float(total)) / F.col("n_e"), 1 - generalise_at) * (1 + 1e-9)
-    pairs = cut(pairs.join(held, "entity").join(beside, "term").filter(F.col("m_t") <= most).drop("m_t"), "possible")
+    pairs = cut(pairs.join(held, "entity").join(beside, "term").filter(F.col("m_t") + 1 <= most).drop("m_t"), "possible")
     terms = pairs.select("term").distinct()
     few = terms.limit(broadcast_rows + 1).count() <= broadcast_rows
     words = df.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"\P{L}+"))).alias("term"))
     seen = words.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    pmi = F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
+    pmi = F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * (F.col("n_t") + 1)))
     ic = F.log2(F.lit(float(total)) / F.col("n_e"))
     met = pairs.join(seen, "term")
     return met.select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("disclosure")).filter(F.col("disclosure") >= generalise_at)
 
 
-def term_spans(df: DataFrame, reach: int = 60, min_support: int = 3, generalise_at: float = 0.8) -> DataFrame:
+def term_spans(df: DataFrame, reach: int = 60, min_support: int = 1, generalise_at: float = 0.8) -> DataFrame:
     """(_h1, _h2, terms): the disclosing words of each document that has any, by position."""
     found = base_spans(keyed(df.select("doc_id", "text")))
     near = cut(contexts(found, reach), "near")

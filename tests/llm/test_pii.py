@@ -74,6 +74,15 @@ def test_terms_that_disclose(spark):
     assert clean[0]["text"] == " to  meeting [EMAIL]  meeting 0" and clean[100]["text"] == rows[5][1] and clean[0]["_extra"] is None
 
 
+def test_entities_of_one_document_have_disclosing_terms(spark):
+    rows = [(1, "meet zorblax meeting bob@corp.example.com soon", None, None, 0, None)]
+    rows += [(100 + i, f"meet soon for a meeting {i}", None, None, 0, None) for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r for r in pii.report(df).collect()}
+    assert [s for s in got[1]["spans"].split(",") if s.startswith("term:")] == ["term:5:12"] and sum(r["n_term"] for r in got.values()) == 1
+    assert {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}[1] == "meet [WORD] meeting [EMAIL] soon"
+
+
 def test_overlaps_are_replaced_once(spark):
     df = spark.createDataFrame([(1, "call +4111111111111111 or 1.2.3.4@x.com end", None, None, 0, None), (None, None, None, None, None, None)], SCHEMA)
     got = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
