@@ -2,16 +2,16 @@
 
 Patterns find e-mail addresses, IP addresses, payment cards and phone numbers.
 The values found are the protected entities. Corpus co-occurrence then says how
-strongly a word near a mention reveals its entity: over all documents,
+strongly a word reveals an entity of its document: over all documents,
 
     PMI(e, t) = log2(n_et * N / (n_e * (n_t + 1))),   IC(e) = log2(N / n_e),
 
-with n_et the documents that have t within ``reach`` code points of a mention of
-e. PMI / IC is the disclosure of t: near 1 if t occurs only beside e. The one
+with n_e, n_t and n_et the documents that have e, t and both. PMI / IC is the disclosure of t: near 1 if t occurs only beside e. The one
 document added to n_t is what protects against chance: few documents speak for
 less than many, and none are too few to be looked at. Words that disclose at
 least ``generalise_at`` become a generalisation of their shape, those from
-``remove_at`` on go, in the documents that hold the entity.
+``remove_at`` on go, wherever they stand in the documents that hold the entity.
+A word is a run of three letters or more between mentions.
 
 DataFrame functions only. Null texts are empty texts, with no spans. Equal rows
 get equal rows; ids may repeat or be null (texts are told apart by 128 bits of
@@ -64,8 +64,11 @@ def passes(kind: str, match: Column) -> Column:
     }[kind]
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of a pattern's leftmost matches, by code points."""
+def matches(text: Column, pattern: str, keep=None) -> Column:
+    """array<struct<start, end, value>> of a pattern's leftmost matches, by code points.
+
+    ``keep`` says by a match's value whether it is listed; many that are not cost little.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
@@ -73,7 +76,8 @@ def matches(text: Column, pattern: str) -> Column:
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.char_length(pair["gap"])
         end = start + F.char_length(pair["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value")))).alias("out"))
+        more = F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"))))
+        return F.struct(end.alias("at"), (more if keep is None else F.when(keep(pair["value"]), more).otherwise(acc["out"])).alias("out"))
 
     pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("value"))
     done = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
@@ -111,75 +115,85 @@ def keyed(df: DataFrame) -> DataFrame:
     return df.withColumns({"_h1": F.xxhash64(t, i), "_h2": F.xxhash64(F.lit("second"), i, t)})
 
 
-def contexts(found: DataFrame, reach: int) -> DataFrame:
-    """(_h1, _h2, entity, term, start, end): the words within ``reach`` code points of each mention.
+def mentions() -> Column:
+    """array<struct<kind, start, end, value>> of all base spans."""
+    return F.flatten(F.array(*[_labelled(k) for k in KINDS]))
 
-    A mention without such a word has a row whose term is null.
-    """
-    mention = F.flatten(F.array(*[_labelled(k) for k in KINDS]))
-    rows = found.filter(" or ".join(f"size(_{k}) > 0" for k in KINDS)).withColumn("_spans", mention)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    m = F.col("_m")
-    low = F.greatest(m["start"] - reach, F.lit(0))
-    rows = rows.select("_h1", "_h2", "text", "_spans", F.explode("_spans").alias("_m"))
-    rows = rows.select(
-        "_h1", "_h2", F.concat(m["kind"], F.lit(":"), m["value"]).alias("entity"), "_spans",
-        F.array(
-            F.struct(low.alias("at"), F.substring(text, low + 1, m["start"] - low).alias("part")),
-            F.struct(m["end"].alias("at"), F.substring(text, m["end"] + 1, F.lit(reach)).alias("part")),
-        ).alias("sides"),
-    )
-    rows = rows.select("_h1", "_h2", "entity", "_spans", F.explode("sides").alias("_s"))
-    words = F.transform(matches(F.col("_s.part"), TERM), lambda w: F.struct((w["start"] + F.col("_s.at")).alias("start"), (w["end"] + F.col("_s.at")).alias("end"), F.lower(w["value"]).alias("value")))
-    # A word cut by the edge of the reach is not one, nor is a part of another mention.
-    edge = lambda w: ((w["start"] == F.col("_s.at")) & (F.col("_s.at") > 0)) | (w["end"] == F.col("_s.at") + F.char_length("_s.part")) & (F.char_length("_s.part") == reach)
-    inside = lambda w: F.exists("_spans", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"]))
-    rows = rows.select("_h1", "_h2", "entity", F.explode_outer(F.filter(words, lambda w: ~edge(w) & ~inside(w))).alias("_w"))
-    return rows.select("_h1", "_h2", "entity", F.col("_w.value").alias("term"), F.col("_w.start").alias("start"), F.col("_w.end").alias("end")).distinct()
 
+def between(text: Column) -> Column:
+    """The text with a space for every code point of a mention, so that places stay."""
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, blank).alias("out"))
 
-def disclosures(df: DataFrame, near: DataFrame, mentions: DataFrame, min_support: int, generalise_at: float, broadcast_rows: int = 200_000) -> DataFrame:
-    """(entity, term, disclosure) above the lower threshold; counts are over all rows of ``df``.
+    spans = F.array_sort(F.transform(mentions(), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text)))
+    blanked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)
+    return F.when(F.size(spans) > 0, blanked).otherwise(text)
 
-    ``near`` has the words beside mentions, ``mentions`` (_h1, _h2, entity). The
-    candidate words are broadcast up to ``broadcast_rows`` rows, shuffled beyond.
+
+def words(text: Column) -> Column:
+    """The distinct words of a text without its mentions, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def disclosures(df: DataFrame, held: DataFrame, min_support: int, generalise_at: float, broadcast_rows: int = 200_000) -> DataFrame:
+    """(_h1, _h2, term, disclosure) above the lower threshold; counts are over all rows of ``df``.
+
+    ``held`` has the documents with mentions: _h1, _h2, their entities and words.
+    Small tables are broadcast up to ``broadcast_rows`` rows, shuffled beyond.
     """
-    total = df.count()
-    pairs = near.filter("term is not null").select("_h1", "_h2", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= min_support)
-    pairs = cut(pairs, "pairs")
-    held = mentions.distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    # A word is in at least the documents that have it beside any mention; where
-    # even these are too many for the lower threshold, it need not be counted.
-    beside = near.filter("term is not null").select("_h1", "_h2", "term").distinct().groupBy("term").agg(F.count("*").alias("m_t"))
-    most = F.col("n_et") * F.pow(F.lit(float(total)) / F.col("n_e"), 1 - generalise_at) * (1 + 1e-9)
-    pairs = cut(pairs.join(held, "entity").join(beside, "term").filter(F.col("m_t") + 1 <= most).drop("m_t"), "possible")
-    terms = pairs.select("term").distinct()
-    few = terms.limit(broadcast_rows + 1).count() <= broadcast_rows
-    words = df.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce(F.col("text"), F.lit(""))), r"\P{L}+"))).alias("term"))
-    seen = words.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    pmi = F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * (F.col("n_t") + 1)))
-    ic = F.log2(F.lit(float(total)) / F.col("n_e"))
-    met = pairs.join(seen, "term")
-    return met.select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("disclosure")).filter(F.col("disclosure") >= generalise_at)
-
-
-def term_spans(df: DataFrame, reach: int = 60, min_support: int = 1, generalise_at: float = 0.8) -> DataFrame:
-    """(_h1, _h2, terms): the disclosing words of each document that has any, by position."""
+
+    def small(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if table.limit(broadcast_rows + 1).count() <= broadcast_rows else table
+
+    total = F.lit(float(df.count()))
+    having = cut(held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")), "entities")
+    # n_et is at most n_e, so a word of more documents than this cannot disclose an entity.
+    most = lambda n: n * F.pow(total / n, 1 - generalise_at) * (1 + 1e-9)
+    largest = having.agg(F.max("n_e")).first()[0] or 0
+    if not largest:
+        return held.select("_h1", "_h2", F.lit("").alias("term"), F.lit(0.0).alias("disclosure")).limit(0)
+    text = between(F.coalesce(F.col("text"), F.lit("")))
+    # explode() would bring a filter that finds all spans once more.
+    seen = base_spans(df.select("text")).select(F.explode_outer(words(text)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    terms = held.select(F.explode("words").alias("term")).distinct()
+    seen = cut(seen.filter(F.col("n_t") + 1 <= most(F.lit(float(largest)))).join(terms, "term", "left_semi"), "seen")
+    rows = held.select("_h1", "_h2", "entities", F.explode("words").alias("term")).join(small(seen), "term")
+    rows = rows.select("_h1", "_h2", "term", "n_t", F.explode("entities").alias("entity")).join(small(having), "entity")
+    rows = cut(rows.filter(F.col("n_t") + 1 <= most(F.col("n_e"))), "possible")
+    met = rows.groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= min_support)
+    pmi = F.log2(F.col("n_et") * total / (F.col("n_e") * (F.col("n_t") + 1)))
+    ic = F.log2(total / F.col("n_e"))
+    worst = met.select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("disclosure")).filter(F.col("disclosure") >= generalise_at)
+    worst = cut(worst, "worst")
+    return rows.join(small(worst), ["entity", "term"]).groupBy("_h1", "_h2", "term").agg(F.max("disclosure").alias("disclosure"))
+
+
+def disclosing(df: DataFrame, min_support: int = 1, generalise_at: float = 0.8) -> DataFrame:
+    """(_h1, _h2, _worst): the disclosing words of each document that has any, with their disclosure."""
     found = base_spans(keyed(df.select("doc_id", "text")))
-    near = cut(contexts(found, reach), "near")
-    mentions = near.select("_h1", "_h2", "entity")
-    worst = disclosures(df, near, mentions, min_support, generalise_at)
-    rows = near.join(worst, ["entity", "term"]).groupBy("_h1", "_h2", "start", "end", "term").agg(F.max("disclosure").alias("disclosure"))
-    spans = F.sort_array(F.collect_list(F.struct("start", "end", F.col("term").alias("value"), "disclosure")))
-    return cut(rows.groupBy("_h1", "_h2").agg(spans.alias("_term")), "terms")
+    text = between(F.coalesce(F.col("text"), F.lit("")))
+    entities = F.array_distinct(F.transform(mentions(), lambda m: F.concat(m["kind"], F.lit(":"), m["value"])))
+    held = found.filter(" or ".join(f"size(_{k}) > 0" for k in KINDS)).select("_h1", "_h2", entities.alias("entities"), words(text).alias("words"))
+    rows = disclosures(df, cut(held, "held"), min_support, generalise_at)
+    return cut(rows.groupBy("_h1", "_h2").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("_worst")), "terms")
 
 
 def all_spans(df: DataFrame, **how) -> DataFrame:
     """``df`` with its base spans and, in _term, the disclosing words (empty if none)."""
-    terms = term_spans(df, **how)
     none = F.array().cast("array<struct<start:int,end:int,value:string,disclosure:double>>")
-    rows = base_spans(keyed(df)).join(terms, ["_h1", "_h2"], "left")
-    return rows.withColumn("_term", F.coalesce("_term", none))
+    worst = F.col("_worst")
+    text = between(F.coalesce(F.col("text"), F.lit("")))
+    rows = base_spans(keyed(df)).join(disclosing(df, **how), ["_h1", "_h2"], "left")
+    rows = rows.withColumn("_rest", F.when(worst.isNotNull(), text))
+    found = F.transform(
+        matches(F.col("_rest"), TERM, lambda w: F.map_contains_key(worst, F.lower(w))),
+        lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lower(w["value"]).alias("value"), worst[F.lower(w["value"])].alias("disclosure")),
+    )
+    return rows.withColumn("_term", F.when(worst.isNotNull(), found).otherwise(none))
 
 
 def listed(kind: str, spans: Column) -> Column:

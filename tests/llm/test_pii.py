@@ -83,6 +83,16 @@ def test_entities_of_one_document_have_disclosing_terms(spark):
     assert {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}[1] == "meet [WORD] meeting [EMAIL] soon"
 
 
+def test_disclosing_terms_are_found_all_over_the_document(spark):
+    far = "meeting notes " * 30
+    rows = [(i, f"Zorblax {far}bob@corp.example.com {far}ask zorblax", None, None, 0, None) for i in range(5)]
+    rows += [(100 + i, "ask for meeting notes", None, None, 0, None) for i in range(200)]
+    got = {r["doc_id"]: r for r in pii.report(spark.createDataFrame(rows, SCHEMA)).collect()}
+    at = rows[0][1].rindex("zorblax")
+    for i in range(5):
+        assert [s for s in got[i]["spans"].split(",") if s.startswith("term:")] == ["term:0:7", f"term:{at}:{at + 7}"]
+
+
 def test_overlaps_are_replaced_once(spark):
     df = spark.createDataFrame([(1, "call +4111111111111111 or 1.2.3.4@x.com end", None, None, 0, None), (None, None, None, None, None, None)], SCHEMA)
     got = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
