@@ -93,6 +93,15 @@ def test_disclosing_terms_are_found_all_over_the_document(spark):
         assert [s for s in got[i]["spans"].split(",") if s.startswith("term:")] == ["term:0:7", f"term:{at}:{at + 7}"]
 
 
+def test_words_that_touch_a_mention_are_words(spark):
+    # Letters outside ASCII are no part of an e-mail's match, wherever the mention stands.
+    rows = [(i, "ask " * i + "Zoéëñbob@corp.example.comßüä ask", None, None, 0, None) for i in (0, 15, 40)]
+    rows += [(100 + i, "ask for meeting notes", None, None, 0, None) for i in range(200)]
+    got = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i in (0, 15, 40):
+        assert got[i] == "ask " * i + "[WORD][EMAIL][WORD] ask"
+
+
 def test_overlaps_are_replaced_once(spark):
     df = spark.createDataFrame([(1, "call +4111111111111111 or 1.2.3.4@x.com end", None, None, 0, None), (None, None, None, None, None, None)], SCHEMA)
     got = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
