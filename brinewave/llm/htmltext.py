@@ -199,7 +199,7 @@ def shape(text: str, own: str, links: int, i: int, n: int) -> list[int]:
     out.append(ID["links:all"] if share > LINKS[-1] else ID[f"links:{min(x for x in LINKS if share <= x)}"])
     if text[-1] in ".!?…。！？\"”»":
         out.append(ID["sentence"])
-    if "©" in text or "copyright" in text[:200].lower():
+    if "©" in text or "copyright" in text.lower():
         out.append(ID["copyright"])
     if text[0].isupper():
         out.append(ID["capital"])

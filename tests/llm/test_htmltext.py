@@ -47,6 +47,11 @@ def test_blocks():
     assert len(texts("<div>" * 20000 + "deep")) == 1 and len(texts("<p>w" * 30000)) == 30000
 
 
+def test_copyright_is_looked_for_in_the_whole_block():
+    assert all(ht.ID["copyright"] in ht.shape("a " * n + "Copyright 2020", "p", 0, 0, 1) for n in (0, 100, 5000))
+    assert ht.ID["copyright"] not in ht.shape("a " * 5000, "p", 0, 0, 1)
+
+
 def test_held_out_pages(chain):
     right = [ht.main_text(page, chain) == "\n".join(kept) for page, kept in ht.labelled_pages(150, seed=77)]
     assert np.mean(right) > 0.93
