@@ -32,15 +32,17 @@ from pyspark.sql import DataFrame
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style iframe noframes noembed xmp title textarea".split())
 HEAD = set("base basefont bgsound head link meta noframes noscript script style template title".split())
-UNSEEN = set("head template noscript object svg math canvas select datalist audio video button".split())
+UNSEEN = set("head template noscript svg canvas select datalist audio video button annotation annotation-xml".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+# A formula is part of its paragraph.
+INLINE |= set("math semantics annotation annotation-xml maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover".split())
 CLOSES_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr main menu nav ol p pre section table ul".split()
 )
 CLOSED_BY_LIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",)}
-ANCESTORS = "article main section nav header footer aside form figure figcaption table ul ol dl blockquote pre address details dialog menu".split()
+ANCESTORS = "article main section nav header footer aside form figure figcaption table ul ol dl blockquote pre address details dialog menu object".split()
 OWN = "p h1 h2 h3 h4 h5 h6 li td th div section article blockquote pre dt dd figcaption body label".split()
 # Words of classes, ids and roles, by what they speak of.
 TOPICS = {

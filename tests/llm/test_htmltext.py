@@ -47,6 +47,15 @@ def test_blocks():
     assert len(texts("<div>" * 20000 + "deep")) == 1 and len(texts("<p>w" * 30000)) == 30000
 
 
+def test_formulas_and_objects_give_text(chain):
+    texts = lambda page: [t for t, _ in ht.blocks(page)]
+    assert texts("<p>so <math><semantics><mrow><mi>a</mi><mo>=</mo><mn>2</mn></mrow><annotation>a=2</annotation></semantics></math> holds.</p>") == ["so a=2 holds."]
+    found = ht.blocks("<object data=x.pdf><p>fallback text</p></object><p>k</p>")
+    assert [t for t, _ in found] == ["fallback text", "k"] and [ht.ID["in:object"] in f for _, f in found] == [True, False]
+    body = "Many words of an article stand in this paragraph, and it goes on. " * 3
+    assert "fallback" in ht.main_text(f"<article><h1>Title</h1><p>{body}</p><object><p>{body}fallback.</p></object><p>{body}</p></article>", chain)
+
+
 def test_copyright_is_looked_for_in_the_whole_block():
     assert all(ht.ID["copyright"] in ht.shape("a " * n + "Copyright 2020", "p", 0, 0, 1) for n in (0, 100, 5000))
     assert ht.ID["copyright"] not in ht.shape("a " * 5000, "p", 0, 0, 1)
