@@ -82,6 +82,72 @@ def test_linked_sets_share_a_signature():
             assert differ <= len(x) + len(y) - 2 * both <= limit
 
 
+def test_signatures_stay_near_the_prefix():
+    rng = np.random.default_rng(1)
+    for n in (3_000, 20_000, 65_535, 100_000, 1_000_000):
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        for percent in (80, 90):
+            prefix = len(x) - simjoin.least_overlap(len(x), percent) + 1
+            assert len(simjoin.signatures(x, np.full(len(x), 9, np.uint8), 1, percent, 32)) <= 5 * prefix
+
+
+def test_bitmaps_fold():
+    x = np.random.default_rng(2).integers(0, 2**63, 3000).astype(np.uint64)
+    large, small = simjoin.bitmap(x, 4096), simjoin.bitmap(x, 512)
+    assert (simjoin.by_size([large.view(np.uint64), small.view(np.uint64)])[8] == small.view(np.uint64)).all()
+
+
+def near_group(m, n=220, edits=14, seed=3):
+    """Copies of one text, each with edits of its own: near the limit of 90 %, most pairs below it."""
+    rng = np.random.default_rng(seed)
+    base = [f"b{i}" for i in range(n)]
+    rows = []
+    for i in range(m):
+        own = list(base)
+        for k in rng.choice(n, int(rng.integers(0, edits)), replace=False):
+            own[int(k)] = f"x{rng.integers(10**9)}"
+        rows.append((i, " ".join(own), None, None))
+    return rows
+
+
+def test_a_large_group_of_near_copies_below_the_limit(spark, monkeypatch):
+    sent = []
+    for name in ("chains", "linked_members"):
+        def counted(rows, percent, real=getattr(simjoin, name)):
+            out = simjoin.cut(real(rows, percent), "counted")
+            sent.append((out.count(), rows.count()))
+            return out
+        monkeypatch.setattr(simjoin, name, counted)
+    rows = near_group(2000)
+    got = simjoin.report(spark.createDataFrame(rows, SCHEMA).repartition(4), 3, 90).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == fast_brute(rows, 3, 90)
+    assert all(out <= members for out, members in sent)
+
+
+def fast_brute(rows, k, percent):
+    sets = [shingle_set(r[1], k) for r in rows]
+    names = {x: i for i, x in enumerate(sorted(set().union(*sets)))}
+    have = np.zeros((len(rows), len(names)), np.float32)
+    for i, s in enumerate(sets):
+        have[i, [names[x] for x in s]] = 1
+    both, n = have @ have.T, have.sum(axis=1)
+    linked = 100 * both >= percent * (n[:, None] + n[None] - both)
+    label = np.arange(len(rows))
+    while True:
+        new = np.array([label[linked[i]].min() for i in range(len(rows))])
+        if (new == label).all():
+            return [(r[0], len(s), int(label[i])) for i, (r, s) in enumerate(zip(rows, sets, strict=True))]
+        label = new
+
+
+def test_names_that_different_sets_share_are_settled(spark, monkeypatch):
+    real = simjoin.node_of
+    monkeypatch.setattr(simjoin, "node_of", lambda s: (real(s)[0] % 7, *real(s)[1:]))
+    rows = corpus(5)
+    got = simjoin.report(spark.createDataFrame(rows, SCHEMA), 3, 80).collect()
+    assert sorted((tuple(r[c] for c in ("doc_id", "n_shingles", "component_id")) for r in got), key=str) == brute(rows, 3, 80)
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 150, (110, 2))] + [(200 + i, 201 + i) for i in range(40)] + [(300, i) for i in range(301, 340)]
