@@ -3,26 +3,34 @@
 A document is its token ids and one end id. Documents longer than a sequence are
 cut into whole sequences and a rest; nothing else is cut. Rests and short
 documents are dealt into shards of bounded size. In each shard several islands
-breed packings: a crossover puts whole well-filled bins of one parent into the
-other, removes the bins that hold duplicates, and best-fits the documents so
-displaced, longest first. After each epoch an island's elite moves to the next
-island of its shard. The best packing of a shard stands; its worst-filled bins
-are dissolved and their documents packed again across shards, until one shard
-is left or the levels are used up.
-
-White space never lies inside a token, so the parts between are tokenized apart
-and their ids kept in a bounded memory; a special token's string in a text is
-that token. Null texts are empty: one end id. Equal documents are packed each.
-An empty table gives an empty result. Only doc_id and text are looked at.
+breed packings. A herd starts from best fits of the documents, by turns in random
+order and longest first with some disorder. A crossover puts whole well-filled bins of one parent into the other, removes the
+bins that hold duplicates, and best-fits the documents so displaced, longest
+first; a mutation dissolves a share of the worst-filled bins and a few others in
+the same way. After each epoch an island's elite moves to the next island of its
+shard; every epoch crosses once at least, and stops once a packing needs no more
+bins than the documents' sum does. The best packing of a shard stands; its
+worst-filled bins are dissolved and their documents packed again across shards,
+until one shard is left or the levels are used up. ``generations`` says how many
+crossovers the shard that placed a piece went through (0: a whole sequence).
+
+Where the tokenizer's settings are the ones that LETTER_RUNS describes, white
+space never lies inside a token, so the parts between are tokenized apart and
+their ids kept in a bounded memory; other tokenizers get whole texts. A special
+token's string in a text is that token. Null texts are empty: one end id. Equal
+documents are packed each. An empty table gives an empty result. Only doc_id and
+text are looked at.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
+from itertools import chain
+from struct import Struct
 
 import numpy as np
 import pandas as pd
@@ -31,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brinewave.llm.common import cut
+from brinewave.llm.common import cut, drop_cut
 
 PARTS = re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 WHOLE = 1 << 60  # sequence ids of whole sequences start here, those of a level at level << 52
@@ -41,6 +49,7 @@ WHOLE = 1 << 60  # sequence ids of whole sequences start here, those of a level
 #: the tokenizer, too, takes such a part's letters and punctuation apart.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 RARE_SPACE = re.compile(r"[\x1c-\x1f]")
+pack_ids = [Struct(f"<{n}I").pack for n in range(12)]
 
 
 def parts_of(text: str) -> list[str]:
@@ -48,11 +57,35 @@ def parts_of(text: str) -> list[str]:
     return PARTS.findall(text) if RARE_SPACE.search(text) else text.split()
 
 
+# The settings of a tokenizer whose tokens end at white space and where letters meet punctuation.
+LETTER_RUNS = {
+    "normalizer": ["NFC", "Replace", "Lowercase"],
+    "pre_tokenizer": ["Split", "ByteLevel"],
+    "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
+
+
+def by_letter_runs(tokenizer_json: str) -> bool:
+    """Whether a tokenizer has the settings that LETTER_RUNS names."""
+    found = json.loads(tokenizer_json)
+    steps = (found.get("normalizer") or {}).get("normalizers") or []
+    cuts = (found.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    if [x["type"] for x in steps] != LETTER_RUNS["normalizer"] or [x["type"] for x in cuts] != LETTER_RUNS["pre_tokenizer"]:
+        return False
+    tokens = found.get("added_tokens") or []
+    return (
+        steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+        and cuts[0]["pattern"] == {"Regex": LETTER_RUNS["split"]} and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"]
+        and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"]
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or SIMPLE.fullmatch(t["content"]) or len(parts_of(t["content"])) != 1 for t in tokens)
+    )
+
+
 class Ids:
     """Part of a text -> the bytes of its ids; each table forgets all once it is large."""
 
-    def __init__(self, tokenizer, most: int = 400_000):
-        self.tokenizer, self.most = tokenizer, most
+    def __init__(self, tokenizer, most: int = 400_000, whole: bool = False):
+        self.tokenizer, self.most, self.whole = tokenizer, most, whole
         self.parts: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
@@ -60,20 +93,35 @@ class Ids:
         """Make the ids of parts that are not known yet."""
         if len(self.runs) > 2 * self.most:
             self.runs.clear()
-        made = {}
+        runs, simple = self.runs, SIMPLE.fullmatch
+        one: dict[str, str] = {}
+        two: dict[str, tuple[str, str]] = {}
         for p in new:
-            m = SIMPLE.fullmatch(p)
-            made[p] = (m[1].lower(), *filter(None, [m[2]])) if m else (p,)
-        todo = list(dict.fromkeys(r for rs in made.values() for r in rs if r not in self.runs))
+            if p.isascii() and p.isalpha():
+                one[p] = p.lower()
+            elif (m := simple(p)) and m[2]:
+                two[p] = (m[1].lower(), m[2])
+            else:
+                one[p] = m[1].lower() if m else p
+        todo = set(one.values())
+        for pair in two.values():
+            todo.update(pair)
+        todo = list(todo.difference(runs))
         for at in range(0, len(todo), 5_000):
             some = todo[at : at + 5_000]
             for r, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.runs[r] = np.array(e.ids, "<u4").tobytes()
-        runs = self.runs
-        self.parts.update({p: runs[rs[0]] if len(rs) == 1 else runs[rs[0]] + runs[rs[1]] for p, rs in made.items()})
+                ids = e.ids
+                runs[r] = pack_ids[len(ids)](*ids) if len(ids) < len(pack_ids) else np.array(ids, "<u4").tobytes()
+        known = self.parts
+        for p, r in one.items():
+            known[p] = runs[r]
+        for p, (r, t) in two.items():
+            known[p] = runs[r] + runs[t]
 
     def encode(self, texts: list[str], step: int = 100_000) -> list[bytes]:
         """The ids of whole texts; at most about ``step`` parts are new at a time."""
+        if self.whole:
+            return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
         out: list[bytes] = []
         some: list[list[str]] = []
 
@@ -81,7 +129,7 @@ class Ids:
             if len(self.parts) > self.most:
                 self.parts.clear()
             known = self.parts
-            if new := {p for parts in some for p in parts if p not in known}:
+            if new := set(chain.from_iterable(some)).difference(known):
                 self.add(new)
             out.extend(b"".join(map(self.parts.__getitem__, parts)) for parts in some)
             some.clear()
@@ -109,7 +157,7 @@ def kept(tokenizer_json: str) -> Ids:
         from tokenizers import Tokenizer
 
         _KEPT.clear()
-        _KEPT[key] = Ids(Tokenizer.from_str(tokenizer_json))
+        _KEPT[key] = Ids(Tokenizer.from_str(tokenizer_json), whole=not by_letter_runs(tokenizer_json))
     return _KEPT[key]
 
 
@@ -142,51 +190,83 @@ def pieces(df: DataFrame, tokenizer_json: str, limit: int = 4096, end_id: int =
 
 
 class Packing:
-    """Bins as lists of items; best fit keeps the free places in order."""
+    """Bins as lists of items. Bins are kept by their room, and a bit for every room tells which there are."""
+
+    __slots__ = ("bins", "by_room", "limit", "open", "room", "sizes")
 
-    def __init__(self, sizes: list[int], limit: int, bins: list[list[int]] | None = None):
+    def __init__(self, sizes: list[int], limit: int, bins: Iterable[list[int]] = ()):
         self.sizes, self.limit = sizes, limit
-        self.bins = bins or []
-        self.room = sorted((limit - sum(sizes[i] for i in b), k) for k, b in enumerate(self.bins))
+        self.bins: list[list[int]] = []
+        self.room: list[int] = []
+        self.by_room: dict[int, list[int]] = {}
+        self.open = 0
+        for own in bins:
+            free = limit - sum([sizes[i] for i in own])
+            self.by_room.setdefault(free, []).append(len(self.bins))
+            self.open |= 1 << free
+            self.bins.append(own)
+            self.room.append(free)
 
     def fit(self, items: list[int]) -> Packing:
         """Put the items, in this order, where they leave least room."""
+        sizes, bins, room, by_room, open_ = self.sizes, self.bins, self.room, self.by_room, self.open
         for i in items:
-            n = self.sizes[i]
-            at = bisect_left(self.room, (n, -1))
-            if at == len(self.room):
-                self.bins.append([i])
-                insort(self.room, (self.limit - n, len(self.bins) - 1))
+            n = sizes[i]
+            if large := open_ >> n:
+                free = n + (large & -large).bit_length() - 1
+                own = by_room[free]
+                k = own.pop()
+                if not own:
+                    open_ ^= 1 << free
+                bins[k].append(i)
+                free -= n
+            else:
+                k, free = len(bins), self.limit - n
+                bins.append([i])
+                room.append(free)
+            room[k] = free
+            if own := by_room.setdefault(free, []):
+                own.append(k)
             else:
-                free, k = self.room.pop(at)
-                self.bins[k].append(i)
-                insort(self.room, (free - n, k))
+                own.append(k)
+                open_ |= 1 << free
+        self.open = open_
         return self
 
-    def worth(self) -> tuple[int, float]:
-        """Few bins first, then the mean squared fill."""
-        return -len(self.bins), sum(((self.limit - r) / self.limit) ** 2 for r, _ in self.room)
+    def refit(self, kept: list[list[int]], displaced: list[int]) -> Packing:
+        """A packing of the bins ``kept`` (copied) and the displaced items, longest first."""
+        return Packing(self.sizes, self.limit, [list(g) for g in kept]).fit(sorted(displaced, key=lambda i: (-self.sizes[i], i)))
+
+    def fullest(self) -> list[int]:
+        """The bins from the best filled on."""
+        return np.argsort(self.room, kind="stable").tolist()
+
+    def worth(self) -> tuple[int, int]:
+        """Few bins first, then bins as full or as empty as can be."""
+        return -len(self.bins), sum([(self.limit - r) ** 2 for r in self.room])
 
 
 def cross(a: Packing, b: Packing, rng: np.random.Generator) -> Packing:
-    """``b`` with some of the best-filled bins of ``a`` put in whole."""
-    best = [k for _, k in a.room[: max(1, len(a.room) // 2)]]
-    given = [a.bins[k] for k in rng.permutation(best)[: max(1, len(best) // 2)]]
-    inside = {i for g in given for i in g}
-    kept, displaced = [list(g) for g in given], []
-    for own in b.bins:
-        if inside.isdisjoint(own):
-            kept.append(list(own))
-        else:
-            displaced += [i for i in own if i not in inside]
-    displaced.sort(key=lambda i: -b.sizes[i])
-    return Packing(b.sizes, b.limit, kept).fit(displaced)
-
-
-def breed(sizes: list[int], limit: int, seed: int, elite: list[list[int]], generations: int = 12, population: int = 6) -> list[int]:
-    """The bin of every item in the best packing that an island finds.
-
-    ``elite`` has packings to start from, each as the bin of every item.
+    """``b`` with half of the better-filled bins of ``a`` put in whole."""
+    best = a.fullest()[: max(1, len(a.bins) // 2)]
+    given = [a.bins[k] for k in rng.permutation(best)[: max(1, len(best) // 2)].tolist()]
+    inside = set().union(*given)
+    whole = [own for own in b.bins if inside.isdisjoint(own)]
+    return b.refit(given + whole, [i for own in b.bins if not inside.isdisjoint(own) for i in own if i not in inside])
+
+
+def mutate(a: Packing, rng: np.random.Generator) -> Packing:
+    """``a`` with a share of its worst-filled bins, and a few others, dissolved and fitted again."""
+    n = len(a.bins)
+    gone = set(a.fullest()[n - max(1, int(n * rng.uniform(0.05, 0.5))) :]) | set(rng.integers(0, n, 1 + n // 40).tolist())
+    return a.refit([own for k, own in enumerate(a.bins) if k not in gone], [i for k in sorted(gone) for i in a.bins[k]])
+
+
+def breed(sizes: list[int], limit: int, seed: int, elite: list[list[int]], generations: int = 10, population: int = 4) -> tuple[list[int], int]:
+    """The bin of every item in the best packing that an island finds, and how many crossovers it took.
+
+    ``elite`` has packings to start from, each as the bin of every item. One
+    crossover is made at least.
     """
     rng = np.random.default_rng(seed)
     least = -(-sum(sizes) // limit)
@@ -195,55 +275,59 @@ def breed(sizes: list[int], limit: int, seed: int, elite: list[list[int]], gener
         bins: dict[int, list[int]] = {}
         for i, k in enumerate(bin_of):
             bins.setdefault(k, []).append(i)
-        herd.append(Packing(sizes, limit, list(bins.values())))
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    herd.append(Packing(sizes, limit).fit(order))
-    best = max(herd, key=Packing.worth)
-    if len(best.bins) > least:
-        while len(herd) < population:  # longest first, but with some disorder
-            noise = rng.normal(0, limit / 20, len(sizes))
-            herd.append(Packing(sizes, limit).fit(sorted(order, key=lambda i: -sizes[i] - noise[i])))
-        for _ in range(generations):
-            herd.sort(key=Packing.worth, reverse=True)
-            if len(herd[0].bins) <= least:
-                break
-            a, b = (herd[int(x)] for x in np.minimum(rng.integers(0, len(herd), 2), rng.integers(0, len(herd), 2)))
-            herd[-1] = cross(a, b, rng)
-        best = max([best, *herd], key=Packing.worth)
+        herd.append(Packing(sizes, limit, bins.values()))
+    while len(herd) < population - (1 if elite else 0):
+        # by turns in random order and longest first, with some disorder
+        order = rng.permutation(len(sizes)) if len(herd) % 2 else np.argsort(rng.normal(0, limit / 20, len(sizes)) - sizes)
+        herd.append(Packing(sizes, limit).fit(order.tolist()))
+    made = 0
+    while made < generations and (not made or len(herd[0].bins) > least):
+        herd.sort(key=Packing.worth, reverse=True)
+        # of two drawn the better one is the parent that gives
+        a, b = sorted(rng.choice(len(herd), 2, replace=False).tolist())
+        child = cross(herd[a], herd[b], rng)
+        herd[-1] = max(child, mutate(child, rng), key=Packing.worth) if len(child.bins) > least else child
+        made += 1
+        herd.sort(key=Packing.worth, reverse=True)
     out = [0] * len(sizes)
-    for k, items in enumerate(best.bins):
+    for k, items in enumerate(herd[0].bins):
         for i in items:
             out[i] = k
-    return out
+    return out, made
 
 
 def island_epoch(limit: int, level: int, epoch: int):
-    """A column function (sizes, shard, island, elite) -> the bin of every item."""
+    """A column function (sizes, shard, island, elite) -> the bin of every item and the number of crossovers."""
 
-    @F.pandas_udf("array<int>")
-    def run(sizes: pd.Series, shard: pd.Series, island: pd.Series, elite: pd.Series) -> pd.Series:
+    @F.pandas_udf("bins array<int>, made int")
+    def run(sizes: pd.Series, shard: pd.Series, island: pd.Series, elite: pd.Series) -> pd.DataFrame:
         seeds = [zlib.crc32(repr((level, epoch, int(a), int(b))).encode()) for a, b in zip(shard, island, strict=True)]
-        return pd.Series([breed([int(x) for x in s], limit, seed, [list(map(int, x)) for x in e]) for s, seed, e in zip(sizes, seeds, elite, strict=True)])
+        found = [breed([int(x) for x in s], limit, seed, [list(map(int, x)) for x in e]) for s, seed, e in zip(sizes, seeds, elite, strict=True)]
+        return pd.DataFrame({"bins": [b for b, _ in found], "made": [n for _, n in found]})
 
     return run
 
 
 def evolve(shards: DataFrame, limit: int, level: int, islands: int, epochs: int) -> DataFrame:
-    """(shard, bins): the bin of every item, the best that any island of the shard found."""
-    state = shards.select("shard", "sizes", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.array().cast("array<array<int>>").alias("elite"))
+    """(shard, bins, generations): the best packing that any island of the shard found, the crossovers of all."""
+    island = F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island")
+    state = shards.select("shard", "sizes", island, F.array().cast("array<array<int>>").alias("elite"), F.lit(0).alias("_made"))
+    own = None
     for epoch in range(epochs):
-        bins = island_epoch(limit, level, epoch)("sizes", "shard", "island", "elite")
-        own = cut(state.select("shard", "sizes", "island", bins.alias("bins")), f"epoch{level}-{epoch}")
-        if epoch < epochs - 1:
-            moved = own.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("bins").alias("guest"))
-            state = own.join(moved, ["shard", "island"]).select("shard", "sizes", "island", F.array("bins", "guest").alias("elite"))
-    return own.groupBy("shard").agg(F.min_by("bins", F.struct(F.array_max("bins"), F.col("island"))).alias("bins"))
+        before = own
+        state = state.withColumn("_x", island_epoch(limit, level, epoch)("sizes", "shard", "island", "elite"))
+        own = cut(state.select("shard", "sizes", "island", F.col("_x.bins").alias("bins"), (F.col("_made") + F.col("_x.made")).alias("made")), f"epoch{level}-{epoch}")
+        if before is not None:
+            drop_cut(before)
+        moved = own.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("bins").alias("guest"))
+        state = own.join(moved, ["shard", "island"]).select("shard", "sizes", "island", F.array("bins", "guest").alias("elite"), F.col("made").alias("_made"))
+    return own.groupBy("shard").agg(F.min_by("bins", F.struct(F.array_max("bins"), F.col("island"))).alias("bins"), F.sum("made").alias("generations"))
 
 
 def pack(rows: DataFrame, limit: int = 4096, shard_rows: int = 1_500, islands: int = 2, epochs: int = 2, levels: int = 3, dissolve: float = 0.97) -> DataFrame:
-    """``rows`` of pieces with sequence_id and offset; ``rows`` must be a written table."""
+    """``rows`` of pieces with sequence_id, offset and generations; ``rows`` must be a written table."""
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
-    whole = rows.filter(F.col("length") >= limit).withColumns({"sequence_id": F.lit(WHOLE) + F.col("_row"), "offset": F.lit(0).cast("long")})
+    whole = rows.filter(F.col("length") >= limit).withColumns({"sequence_id": F.lit(WHOLE) + F.col("_row"), "generations": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     out, left = [whole], rows.filter(F.col("length") < limit)
     item = F.struct("length", *[c for c in rows.columns if c != "length"])
     for level in range(1, levels + 1):
@@ -251,18 +335,21 @@ def pack(rows: DataFrame, limit: int = 4096, shard_rows: int = 1_500, islands: i
         n_shards = max(1, -(-n // shard_rows))
         dealt = left.groupBy(F.pmod(F.xxhash64("_row", F.lit(level)), F.lit(n_shards)).alias("shard")).agg(F.sort_array(F.collect_list(item)).alias("items"))
         shards = cut(dealt.withColumn("sizes", F.transform("items", lambda x: x["length"].cast("int"))), f"shards{level}")
-        placed = shards.join(evolve(shards, limit, level, islands, epochs), "shard")
-        flat = placed.select("shard", F.explode(F.arrays_zip("items", "bins")).alias("_x"))
-        flat = flat.select("shard", F.col("_x.bins").cast("long").alias("_bin"), "_x.items.*")
+        evolved = evolve(shards.select("shard", "sizes"), limit, level, islands, epochs)
+        placed = shards.select("shard", "items").join(evolved, "shard")
+        flat = placed.select("shard", "generations", F.explode(F.arrays_zip("items", "bins")).alias("_x"))
+        flat = flat.select("shard", "generations", F.col("_x.bins").cast("long").alias("_bin"), "_x.items.*")
         bins = flat.withColumn("sequence_id", F.lit(level << 52) + F.col("shard").cast("long") * (1 << 24) + F.col("_bin"))
         bins = cut(bins.drop("shard", "_bin"), f"bins{level}")
+        drop_cut(shards)
+        drop_cut(evolved)
         fill = bins.groupBy("sequence_id").agg(F.sum("length").alias("_fill"))
         final = level == levels or n_shards == 1
         poor = fill.filter(F.col("_fill") < (0 if final else dissolve * limit)).select("sequence_id")
         out.append(offsets(bins if final else bins.join(poor, "sequence_id", "left_anti")))
         if final:
             break
-        left = bins.join(poor, "sequence_id", "left_semi").drop("sequence_id")
+        left = bins.join(poor, "sequence_id", "left_semi").drop("sequence_id", "generations")
     done = out[0]
     for part in out[1:]:
         done = done.unionByName(part)
@@ -278,7 +365,7 @@ def offsets(bins: DataFrame) -> DataFrame:
 
 
 def report(df: DataFrame, tokenizer_path: str, limit: int = 4096, end_id: int = 1, **how) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, generations of every piece."""
     with open(tokenizer_path, encoding="utf-8") as f:
         rows = cut(pieces(df, f.read(), limit, end_id), "pieces")
-    return pack(rows, limit, **how).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(rows, limit, **how).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "generations")
