@@ -60,6 +60,11 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def plainly_named(df: DataFrame, *own: str) -> DataFrame:
+    """``df`` with its columns but ``own`` named by their place, so that none clashes with a working column's name."""
+    return df.toDF(*[c if c in own else f"_c{i}" for i, c in enumerate(df.columns)])
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text, null as the empty string."""
     return F.coalesce(df[column], F.lit(""))

@@ -6,17 +6,24 @@ strongly a word reveals an entity of its document: over all documents,
 
     PMI(e, t) = log2(n_et * N / (n_e * (n_t + 1))),   IC(e) = log2(N / n_e),
 
-with n_e, n_t and n_et the documents that have e, t and both. PMI / IC is the disclosure of t: near 1 if t occurs only beside e. The one
-document added to n_t is what protects against chance: few documents speak for
-less than many, and none are too few to be looked at. Words that disclose at
-least ``generalise_at`` become a generalisation of their shape, those from
-``remove_at`` on go, wherever they stand in the documents that hold the entity.
-A word is a run of three letters or more between mentions.
+with n_e, n_t and n_et the documents that have e, t and both. PMI / IC is the
+disclosure of t: near 1 if t occurs only beside e. The one document added to n_t
+is what protects against chance: few documents speak for less than many, and none
+are too few to be looked at. Words that disclose at least ``generalise_at`` become
+a generalisation of their shape, those from ``remove_at`` on go, wherever they
+stand in the documents that hold the entity. A word is a run of three letters or
+more between mentions.
+
+Entities of the very same documents disclose and are disclosed alike, and so do
+words: they are counted as one class. So a text with very many entities or words
+of its own gives few pairs. Work on one text grows little faster than its length,
+whatever it holds: places are summed up in blocks, and a text is cut in blocks
+before pieces of it are taken.
 
 DataFrame functions only. Null texts are empty texts, with no spans. Equal rows
 get equal rows; ids may repeat or be null (texts are told apart by 128 bits of
 hash). An empty table gives an empty result. Extra columns are kept by
-``sanitise`` and not looked at.
+``sanitise``, whatever their names, and not looked at.
 """
 
 from __future__ import annotations
@@ -24,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brinewave.llm.common import cut
+from brinewave.llm.common import cut, drop_cut, plainly_named
 
 #: Each pattern starts only where a maximal run starts (or the last match ended)
 #: and grows lazily over one character class, so that it reads a text once.
@@ -64,28 +71,68 @@ def passes(kind: str, match: Column) -> Column:
     }[kind]
 
 
+def scanned(items: Column, value, combine, result, none: Column) -> Column:
+    """The arrays ``result(state, item)`` along an array, joined.
+
+    An item's state is what ``combine`` (associative, from 0 on) makes of the values
+    of the items before it. Accumulators are copied at each step, so the scan goes in
+    blocks of the array's cube root: blocks are summed up, their states follow, then
+    each block is scanned by itself.
+    """
+
+    def whole(of: Column) -> Column:
+        items, block = of["items"], of["block"]
+        last = lambda k: F.least((k + 1) * block, F.size(items)) - 1
+
+        def summed(k: Column) -> Column:
+            return F.aggregate(F.sequence(k * block, last(k)), F.lit(0), lambda acc, i: combine(acc, value(F.get(items, i))))
+
+        def follow(acc: Column, x: Column) -> Column:
+            return F.struct(combine(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+        def scan(at: Column, k: Column) -> Column:
+            def one(acc: Column, i: Column) -> Column:
+                found = result(acc["at"], F.get(items, i))
+                return F.struct(combine(acc["at"], value(F.get(items, i))).alias("at"), F.when(F.size(found) > 0, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+
+            return F.aggregate(F.sequence(k * block, last(k)), F.struct(at.alias("at"), none.alias("out")), one, lambda acc: acc["out"])
+
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / block).cast("int")), summed)
+        states = F.aggregate(sums, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), follow, lambda acc: acc["out"])
+        return F.when(F.size(items) > 0, F.flatten(F.transform(states, scan))).otherwise(none)
+
+    sized = lambda x: F.struct(x.alias("items"), F.greatest(F.lit(16), F.ceil(F.cbrt(F.size(x))).cast("int")).alias("block"))
+    return named(items, lambda x: named(sized(x), whole))
+
+
+def named(value: Column, use) -> Column:
+    """``use`` of a value that it may mention often; the value is made once, and copied."""
+    return F.transform(F.array(value), use)[0]
+
+
+def parted(text: Column, pattern: str) -> Column:
+    """array<struct<gap, value>>: a pattern's leftmost matches and what stands before each."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"), found.alias("value"))
+
+
 def matches(text: Column, pattern: str, keep=None) -> Column:
     """array<struct<start, end, value>> of a pattern's leftmost matches, by code points.
 
     ``keep`` says by a match's value whether it is listed; many that are not cost little.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.char_length(pair["gap"])
-        end = start + F.char_length(pair["value"])
-        more = F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"))))
-        return F.struct(end.alias("at"), (more if keep is None else F.when(keep(pair["value"]), more).otherwise(acc["out"])).alias("out"))
+    def found(at: Column, pair: Column) -> Column:
+        start = at + F.char_length(pair["gap"])
+        one = F.array(F.struct(start.alias("start"), (start + F.char_length(pair["value"])).alias("end"), pair["value"].alias("value")))
+        return one if keep is None else F.when(keep(pair["value"]), one).otherwise(none)
 
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("value"))
-    done = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, done).otherwise(none)
+    return scanned(parted(text, pattern), lambda p: F.char_length(p["gap"]) + F.char_length(p["value"]), lambda x, y: x + y, found, none)
 
 
 def _passing(kind: str):
-    return lambda s: passes(kind, s["value"])
+    return lambda value: passes(kind, value)
 
 
 def _labelled(kind: str) -> Column:
@@ -104,9 +151,8 @@ def base_spans(df: DataFrame) -> DataFrame:
     """``df`` with array columns email, ip, card and phone of struct<start, end, value>."""
     text = F.coalesce(df["text"], F.lit(""))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    spans = {k: F.when(F.contains(text, F.lit(HINTS[k])), matches(text, p)).otherwise(none) for k, p in PATTERNS.items()}
-    out = df.withColumns({f"_{k}": v for k, v in spans.items()})
-    return out.withColumns({f"_{k}": F.filter(f"_{k}", _passing(k)) for k in KINDS})
+    spans = {k: F.when(F.contains(text, F.lit(HINTS[k])), matches(text, p, _passing(k))).otherwise(none) for k, p in PATTERNS.items()}
+    return df.withColumns({f"_{k}": v for k, v in spans.items()})
 
 
 def keyed(df: DataFrame) -> DataFrame:
@@ -121,17 +167,14 @@ def mentions() -> Column:
 
 
 def between(text: Column) -> Column:
-    """The text with a space for every code point of a mention, so that places stay."""
+    """The text with a space for every code point of an e-mail address, so that places stay.
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], acc["at"]), F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, blank).alias("out"))
-
-    spans = F.array_sort(F.transform(mentions(), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text)))
-    blanked = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)
-    return F.when(F.size(spans) > 0, blanked).otherwise(text)
+    Other mentions hold no letters, so no word lies in or reaches into one.
+    """
+    pattern = PATTERNS["email"]
+    blanked = F.transform(parted(text, pattern), lambda p: F.concat(p["gap"], F.repeat(F.lit(" "), F.char_length(p["value"]))))
+    whole = F.concat(F.array_join(blanked, ""), F.element_at(F.split(text, pattern, -1), -1))
+    return F.when(F.contains(text, F.lit("@")), whole).otherwise(text)
 
 
 def words(text: Column) -> Column:
@@ -139,10 +182,20 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def disclosures(df: DataFrame, held: DataFrame, min_support: int, generalise_at: float, broadcast_rows: int = 200_000) -> DataFrame:
+def alike(rows: DataFrame, name: str, *more: str) -> DataFrame:
+    """(name, n, _class): in how many documents each value stands; values of the very same documents share a class.
+
+    ``rows`` has a document (_h1, _h2, _m: how often it occurs) once for each of its values.
+    """
+    bits = [F.bit_xor(F.xxhash64("_h1", "_h2", "_m", F.lit(i))).alias(f"_b{i}") for i in (1, 2)]
+    met = rows.groupBy(name, *more).agg(F.sum("_m").alias("n"), F.count("*").alias("_d"), *bits)
+    return met.select(name, *more, "n", F.concat_ws(":", *more, "_d", "n", "_b1", "_b2").alias("_class"))
+
+
+def disclosures(df: DataFrame, held: DataFrame, generalise_at: float, broadcast_rows: int = 200_000) -> DataFrame:
     """(_h1, _h2, term, disclosure) above the lower threshold; counts are over all rows of ``df``.
 
-    ``held`` has the documents with mentions: _h1, _h2, their entities and words.
+    ``held`` has each document with mentions once: _h1, _h2, _m, its entities and words.
     Small tables are broadcast up to ``broadcast_rows`` rows, shuffled beyond.
     """
 
@@ -150,36 +203,50 @@ def disclosures(df: DataFrame, held: DataFrame, min_support: int, generalise_at:
         return F.broadcast(table) if table.limit(broadcast_rows + 1).count() <= broadcast_rows else table
 
     total = F.lit(float(df.count()))
-    having = cut(held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")), "entities")
+    key = ["_h1", "_h2", "_m"]
+    entities = held.select(*key, F.explode("entities").alias("entity"))
+    having = cut(alike(entities, "entity").withColumnRenamed("n", "n_e"), "entities")
     # n_et is at most n_e, so a word of more documents than this cannot disclose an entity.
     most = lambda n: n * F.pow(total / n, 1 - generalise_at) * (1 + 1e-9)
     largest = having.agg(F.max("n_e")).first()[0] or 0
     if not largest:
+        drop_cut(having)
         return held.select("_h1", "_h2", F.lit("").alias("term"), F.lit(0.0).alias("disclosure")).limit(0)
     text = between(F.coalesce(F.col("text"), F.lit("")))
-    # explode() would bring a filter that finds all spans once more.
-    seen = base_spans(df.select("text")).select(F.explode_outer(words(text)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    terms = held.select(F.explode("words").alias("term")).distinct()
-    seen = cut(seen.filter(F.col("n_t") + 1 <= most(F.lit(float(largest)))).join(terms, "term", "left_semi"), "seen")
-    rows = held.select("_h1", "_h2", "entities", F.explode("words").alias("term")).join(small(seen), "term")
-    rows = rows.select("_h1", "_h2", "term", "n_t", F.explode("entities").alias("entity")).join(small(having), "entity")
-    rows = cut(rows.filter(F.col("n_t") + 1 <= most(F.col("n_e"))), "possible")
-    met = rows.groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= min_support)
+    # The words of a text once, counted over all texts; only words of documents with mentions travel further.
+    seen = df.select(F.explode(words(text)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    own = held.select(*key, F.explode("words").alias("term"))
+    seen = cut(seen.filter(F.col("n_t") + 1 <= most(F.lit(float(largest)))).join(own.select("term").distinct(), "term", "left_semi"), "seen")
+    own = cut(own.join(small(seen), "term"), "own")
+    terms = cut(alike(own, "term", "n_t").select("term", "n_t", F.col("_class").alias("_tclass")), "classes")
+    e = entities.join(small(having), "entity").select(*key, "n_e", F.col("_class").alias("_eclass")).distinct()
+    t = own.join(small(terms.select("term", "_tclass")), "term").select(*key, "n_t", "_tclass").distinct()
+    rows = cut(e.join(t, key).filter(F.col("n_t") + 1 <= most(F.col("n_e"))), "possible")
+    met = rows.groupBy("_eclass", "_tclass", "n_e", "n_t").agg(F.sum("_m").alias("n_et"))
     pmi = F.log2(F.col("n_et") * total / (F.col("n_e") * (F.col("n_t") + 1)))
     ic = F.log2(total / F.col("n_e"))
-    worst = met.select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("disclosure")).filter(F.col("disclosure") >= generalise_at)
+    worst = met.select("_eclass", "_tclass", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("disclosure")).filter(F.col("disclosure") >= generalise_at)
     worst = cut(worst, "worst")
-    return rows.join(small(worst), ["entity", "term"]).groupBy("_h1", "_h2", "term").agg(F.max("disclosure").alias("disclosure"))
+    reached = rows.join(small(worst), ["_eclass", "_tclass"]).groupBy(*key, "_tclass").agg(F.max("disclosure").alias("disclosure"))
+    named = own.join(small(terms.select("term", "_tclass")), "term").join(reached, [*key, "_tclass"])
+    out = cut(named.select("_h1", "_h2", "term", "disclosure"), "disclosures")
+    for table in (having, seen, own, terms, rows, worst):
+        drop_cut(table)
+    return out
 
 
-def disclosing(df: DataFrame, min_support: int = 1, generalise_at: float = 0.8) -> DataFrame:
+def disclosing(df: DataFrame, generalise_at: float = 0.8) -> DataFrame:
     """(_h1, _h2, _worst): the disclosing words of each document that has any, with their disclosure."""
     found = base_spans(keyed(df.select("doc_id", "text")))
     text = between(F.coalesce(F.col("text"), F.lit("")))
     entities = F.array_distinct(F.transform(mentions(), lambda m: F.concat(m["kind"], F.lit(":"), m["value"])))
-    held = found.filter(" or ".join(f"size(_{k}) > 0" for k in KINDS)).select("_h1", "_h2", entities.alias("entities"), words(text).alias("words"))
-    rows = disclosures(df, cut(held, "held"), min_support, generalise_at)
-    return cut(rows.groupBy("_h1", "_h2").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("_worst")), "terms")
+    found = found.filter(" or ".join(f"size(_{k}) > 0" for k in KINDS)).select("_h1", "_h2", entities.alias("entities"), words(text).alias("words"))
+    held = cut(found.groupBy("_h1", "_h2").agg(F.count("*").alias("_m"), F.first("entities").alias("entities"), F.first("words").alias("words")), "held")
+    rows = disclosures(df, held, generalise_at)
+    out = cut(rows.groupBy("_h1", "_h2").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("_worst")), "terms")
+    drop_cut(rows)
+    drop_cut(held)
+    return out
 
 
 def all_spans(df: DataFrame, **how) -> DataFrame:
@@ -212,28 +279,46 @@ def report(df: DataFrame, **how) -> DataFrame:
     )
 
 
+#: Code points of the blocks in which a text is cut before pieces of it are taken.
+BLOCK = 4096
+
+
+def piece(blocks: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end (exclusive) of a text cut in blocks."""
+
+    def part(k: Column) -> Column:
+        first = F.greatest(start - k * BLOCK, F.lit(0))
+        return F.substring(F.get(blocks, k), first + 1, F.least(end - k * BLOCK, F.lit(BLOCK)) - first)
+
+    ks = F.sequence(F.floor(start / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int"))
+    return F.when(start < end, F.array_join(F.transform(ks, part), "")).otherwise("")
+
+
+def rewritten(text: Column, spans: Column) -> Column:
+    """The text with the tags of spans (array<struct<start, less, tag>>) in their places; a later span within an earlier one is left out."""
+    none = F.array().cast("array<struct<at:int,start:int,tag:string>>")
+
+    def fresh(at: Column, s: Column) -> Column:
+        return F.when(s["start"] >= at, F.array(F.struct(at.alias("at"), s["start"].alias("start"), s["tag"].alias("tag")))).otherwise(none)
+
+    def join(of: Column) -> Column:
+        blocks, cuts = of["blocks"], of["cuts"]
+        body = F.array_join(F.transform(cuts, lambda c: F.concat(piece(blocks, c["at"], c["start"]), c["tag"])), "")
+        return F.concat(body, piece(blocks, F.array_max(F.transform(of["spans"], lambda s: -s["less"])), F.char_length(of["text"])))
+
+    whole = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks"), scanned(spans, lambda s: -s["less"], F.greatest, fresh, none).alias("cuts"), spans.alias("spans"), text.alias("text"))
+    return F.when(F.size(spans) > 0, named(whole, join)).otherwise(text)
+
+
 def sanitise(df: DataFrame, remove_at: float = 0.95, **how) -> DataFrame:
     """``df`` with its texts rewritten: entities by their kind, words by their shape or nothing.
 
     Overlapping spans are replaced once, by the tag of the first, the longest where several start. Null texts stay null.
     """
-    rows = all_spans(df, **how)
+    plain = plainly_named(df, "doc_id", "text")
+    rows = all_spans(plain, **how)
     tags = [_tagged(k) for k in KINDS]
     word = lambda s: F.when(s["disclosure"] >= remove_at, F.lit("")).otherwise(F.lit("[WORD]"))
     tags.append(F.transform("_term", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), word(s).alias("tag"))))
     rows = rows.withColumn("_all", F.array_sort(F.concat(*tags)))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), s["tag"])
-        return F.struct(
-            F.greatest(acc["at"], -s["less"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"),
-        )
-
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text")))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rewritten = F.when(F.size("_all") > 0, F.aggregate("_all", start, step, finish)).otherwise(F.col("text"))
-    return rows.withColumn("text", rewritten).select(*df.columns)
+    return rows.withColumn("text", rewritten(F.col("text"), F.col("_all"))).select(*plain.columns).toDF(*df.columns)

@@ -1,7 +1,11 @@
 """Personal data against a brute-force version."""
 
 import hashlib
+import itertools
+import math
+import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -30,7 +34,7 @@ def brute(text):
 
 def check(spark, texts):
     df = spark.createDataFrame([(i, t, None, None, 0, "x") for i, t in enumerate(texts)], SCHEMA)
-    got = {r["doc_id"]: r for r in pii.report(df, min_support=10**6).collect()}
+    got = {r["doc_id"]: r for r in pii.report(df, generalise_at=10.0).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         r, (counts, sha, base) = got[i], brute(t)
@@ -108,5 +112,61 @@ def test_overlaps_are_replaced_once(spark):
     assert got[1] == "call +[CARD] or [EMAIL] end" and got[None] is None
 
 
+def test_many_mentions_in_one_text(spark):
+    ips = " ".join(f"ip 10.{i >> 16}.{i >> 8 & 255}.{i & 255} host{'' if i % 3 else ' a@b.de'} ok" for i in range(100_000))
+    rows = [(1, ips, None, None, 0, None), (2, "9" * 70_000, None, None, 0, None), (3, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in pii.report(df, generalise_at=10.0).collect()}
+    assert got[1]["n_ip"] == 100_000 and (got[1]["spans"], got[1]["base_sha256"]) == brute(ips)[:0:-1]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df, generalise_at=10.0).collect()}
+    assert clean[1] == re.sub(r"a@b\.de", "[EMAIL]", re.sub(r"10\.[0-9.]+", "[IP]", ips)) and clean[3] is None
+    assert time.perf_counter() - began < 120
+
+
+def brute_terms(rows, at=0.8):
+    """The disclosing words of every document, by the formulas over all documents."""
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    words = [set(re.findall(r"[^\W\d_]{3,}", email.sub(lambda m: " " * len(m[0]), t or "").lower())) for _, t, *_ in rows]
+    holds = [{(k.split(":")[0], t[int(k.split(":")[1]) : int(k.split(":")[2])].lower()) for k in filter(None, brute(t)[2].split(","))} for _, t, *_ in rows]
+    total, out = len(rows), []
+    for own, mine in zip(words, holds, strict=True):
+        found = set()
+        for e, t in itertools.product(mine, own):
+            n_e, n_t = sum(e in h for h in holds), sum(t in w for w in words)
+            n_et = sum(e in h and t in w for h, w in zip(holds, words, strict=True))
+            ic = math.log2(total / n_e)
+            if ic > 0 and math.log2(n_et * total / (n_e * (n_t + 1))) / ic >= at:
+                found.add(t)
+        out.append(found)
+    return out
+
+
+def test_disclosing_terms_against_brute_force(spark):
+    rng = random.Random(4)
+    vocab, people = [f"{a}{b}" for a in ("zor", "mib", "tal", "ker") for b in ("lax", "non", "dur", "pik", "sev")], [f"p{i}@x.org" for i in range(8)] + ["10.0.0.1", "+1 (487) 555-7209"]
+    rows = []
+    for i in range(90):
+        words = [rng.choice(vocab) for _ in range(6)]
+        if i % 3 == 0:
+            who = rng.randrange(len(people))
+            words += [people[who], vocab[(2 * who) % len(vocab)], f"only{chr(97 + who)}{chr(97 + who)}"] + rng.sample(people, i % 2)
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), None, None, 0, None))
+    rows += [rows[0], rows[0], (900, None, None, None, None, None)]
+    got = pii.report(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = {(r[0], frozenset(w)) for r, w in zip(rows, brute_terms(rows), strict=True)}
+    text = {r[0]: r[1] or "" for r in rows}
+    have = {(r["doc_id"], frozenset(text[r["doc_id"]][int(s.split(":")[1]) : int(s.split(":")[2])] for s in r["spans"].split(",") if s.startswith("term:"))) for r in got}
+    assert have == want and any(w for _, w in want)
+
+
+def test_clashing_names(spark):
+    names = ["_h1", "_h2", "_email", "_ip", "_card", "_phone", "_all", "_term", "_worst", "_rest", "_m", "_class", "entity", "term", "_c0"]
+    df = spark.createDataFrame([(1, "ask bob@corp.example.com", *names, {"k": 1})], ["doc_id", "text", *names, "map"])
+    got = pii.sanitise(df, generalise_at=10.0)
+    assert got.dtypes == df.dtypes and got.collect() == [(1, "ask [EMAIL]", *names, {"k": 1})]
+
+
 def test_empty_table(spark):
     assert pii.report(spark.createDataFrame([], SCHEMA)).collect() == [] and pii.sanitise(spark.createDataFrame([], SCHEMA)).collect() == []
