@@ -14,7 +14,8 @@ Random choices are seeded by source, level and block and rows are put in a fixed
 order, so that reruns agree. Null texts have size 0; a null source is one of its
 own, last in order. Equal rows are different documents that may be taken
 differently, but as often in every rerun. An empty table gives an empty result.
-Only doc_id, text and source are looked at; ``take`` keeps all columns. The
+Only doc_id, text and source are looked at; ``take`` keeps all columns, whatever
+their names and kinds. The
 sources (their sizes and weights) are the mix's settings and pass through the driver.
 """
 
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brinewave.llm.common import WORD, cut
+from brinewave.llm.common import WORD, cut, drop_cut, plainly_named
 
 CAP = 3.0
 
@@ -162,8 +163,9 @@ def mix(df: DataFrame, weights: dict | None = None, cap: float = CAP, block_rows
 
 
 def row_keys(df: DataFrame) -> list:
-    """128 bits of hash of the whole row."""
-    columns = [F.col(f"`{c}`") for c in sorted(df.columns)]
+    """128 bits of hash of the whole row, whatever its columns are called; columns that hold maps or variants are hashed as JSON."""
+    as_json = lambda kind: "map<" in kind or "variant" in kind
+    columns = [F.to_json(F.struct(F.col(f"`{c}`").alias("v"))) if as_json(kind) else F.col(f"`{c}`") for c, kind in df.dtypes]
     return [F.xxhash64(*columns).alias("_k1"), F.xxhash64(F.lit("second"), *columns[::-1]).alias("_k2")]
 
 
@@ -172,11 +174,20 @@ def report(df: DataFrame, **how) -> DataFrame:
     return mix(df, **how).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-def take(df: DataFrame, **how) -> DataFrame:
-    """The rows of ``df`` that the mix takes, as often as it takes them."""
-    chosen = mix(df, **how).groupBy("_k1", "_k2").agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_m")).filter("_copies > 0")
-    met = df.select("*", *row_keys(df)).join(chosen, ["_k1", "_k2"])
-    one = met.filter("_m = 1")
-    many = met.filter("_m > 1").dropDuplicates(["_k1", "_k2"])
-    rows = one.unionByName(many)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*df.columns)
+def take(df: DataFrame, broadcast_rows: int = 500_000, **how) -> DataFrame:
+    """The rows of ``df`` that the mix takes, as often as it takes them.
+
+    The choice (a key and a number for each row taken) is broadcast up to
+    ``broadcast_rows`` rows, and joined by a shuffle beyond.
+    """
+    key = ["_k1", "_k2"]
+    plain = plainly_named(df, "doc_id", "text", "source")
+    mixed = mix(plain, **how)
+    chosen = cut(mixed.groupBy(*key).agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_m")).filter("_copies > 0"), "chosen")
+    drop_cut(mixed)
+    few = chosen.limit(broadcast_rows + 1).count() <= broadcast_rows
+    met = plain.select("*", *row_keys(plain)).join(F.broadcast(chosen) if few else chosen, key)
+    rows = met.filter("_m = 1")
+    if chosen.filter("_m > 1").limit(1).count():
+        rows = rows.unionByName(met.filter("_m > 1").dropDuplicates(key))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*plain.columns).toDF(*df.columns)

@@ -33,7 +33,8 @@ nodes link if 100 * intersection >= ``percent`` * union. The steps:
 Null texts and texts without words have empty sets: they link with nothing and
 are their own component. Repeated rows and ids are fine; a component is named by
 its smallest id that is not null. An empty table gives an empty result. Only
-doc_id and text are looked at; ``distinct`` keeps all columns.
+doc_id and text are looked at; ``distinct`` keeps all columns, whatever their names
+and kinds.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brinewave.llm.common import batches_of, cut, drop_cut
+from brinewave.llm.common import batches_of, cut, drop_cut, plainly_named
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BITMAP, LARGEST = 8, 64  # longs of a bitmap, of small and of large sets
@@ -606,17 +607,28 @@ def report(df: DataFrame, words: int = 5, percent: int = 80, **how) -> DataFrame
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def distinct(df: DataFrame, words: int = 5, percent: int = 80, **how) -> DataFrame:
-    """``df`` with one row of each component, that of the smallest id; rows with empty sets all stay."""
+def distinct(df: DataFrame, words: int = 5, percent: int = 80, broadcast_rows: int = 500_000, **how) -> DataFrame:
+    """``df`` with one row of each component, that of the smallest id; rows with empty sets all stay.
+
+    Only the keys of rows that go travel (and of equal rows of which one stays); they
+    are broadcast up to ``broadcast_rows`` keys, and joined by a shuffle beyond.
+    """
     from brinewave.llm.mixing import row_keys
 
-    keyed = df.select("*", *row_keys(df))
-    rows = join(keyed, words, percent, keep=("doc_id", "_k1", "_k2"), **how)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")).alias("first")
-    best = rows.filter("n > 0").groupBy("label").agg(first).select("first._k1", "first._k2")
-    empty = rows.filter("n = 0").groupBy("_k1", "_k2").agg(F.count("*").alias("_m")).select("_k1", "_k2", F.lit(False).alias("_one"))
-    times = rows.groupBy("_k1", "_k2").agg(F.count("*").alias("_m"))
-    stay = best.withColumn("_one", F.lit(True)).unionByName(empty).join(times, ["_k1", "_k2"])
-    met = keyed.join(stay, ["_k1", "_k2"])
-    again = F.col("_one") & (F.col("_m") > 1)
-    return met.filter(~again).unionByName(met.filter(again).dropDuplicates(["_k1", "_k2"])).select(*df.columns)
+    key = ["_k1", "_k2"]
+    plain = plainly_named(df, "doc_id", "text")
+    keyed = plain.select("*", *row_keys(plain))
+    rows = join(keyed, words, percent, keep=("doc_id", *key), broadcast_rows=broadcast_rows, **how)
+    rows = rows.filter("n > 0").groupBy(*key, "label").agg(F.count("*").alias("_m"), F.min("doc_id").alias("_id"))
+    rows = cut(rows, "keys")
+    best = rows.groupBy("label").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", *key)).alias("best"))
+    best = best.select(*(F.col(f"best.{k}").alias(k) for k in key), F.lit(True).alias("_best"))
+    decided = rows.join(best, key, "left").select(*key, F.coalesce("_best", F.lit(False)).alias("_again"), "_m")
+    decided = cut(decided.filter("not _again or _m > 1").drop("_m"), "decided")
+    drop_cut(rows)
+    few = decided.limit(broadcast_rows + 1).count() <= broadcast_rows
+    met = keyed.join(F.broadcast(decided) if few else decided, key, "left")
+    out = met.filter("_again is null")
+    if decided.filter("_again").limit(1).count():
+        out = out.unionByName(met.filter("_again").dropDuplicates(key))
+    return out.select(*plain.columns).toDF(*df.columns)

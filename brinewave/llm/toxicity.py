@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brinewave.llm.common import is_held_out
+from brinewave.llm.common import is_held_out, plainly_named
 
 WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7)
@@ -194,8 +194,7 @@ def report(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **how) -> DataFrame:
-    """The documents that score below the threshold, all columns kept."""
-    model = learn(docs, labels, **how)
-    hidden = docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs
-    kept = scores(hidden, model, hidden.columns).filter(F.col("score") < threshold).drop("score")
-    return kept.withColumnRenamed("_score", "score") if "score" in docs.columns else kept
+    """The documents that score below the threshold, all columns kept, whatever their names."""
+    plain = plainly_named(docs, "doc_id", "text")
+    kept = scores(plain, learn(plain, labels, **how), plain.columns).filter(F.col("score") < threshold)
+    return kept.drop("score").toDF(*docs.columns)

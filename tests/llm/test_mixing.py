@@ -76,3 +76,15 @@ def test_mix(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert mixing.mix(none).collect() == [] and mixing.take(none).collect() == []
+
+
+def test_take_with_clashing_names_and_a_map(spark):
+    names = ["_k1", "_k2", "_m", "_copies", "_copy", "_h1", "_h2", "_p", "_key", "size", "target", "copies", "_c3"]
+    df = spark.createDataFrame([(i, "w " * (i + 1), f"s{i % 2}", *names, {"k": i}) for i in range(40)], ["doc_id", "text", "source", *names, "map"])
+    rows = {r["doc_id"]: r for r in df.collect()}
+    for most in (100, 0):
+        got = mixing.take(df, broadcast_rows=most)
+        assert got.dtypes == df.dtypes
+        found = got.collect()
+        assert all(r == rows[r["doc_id"]] for r in found)
+        assert abs(len(found) - 40) < 40 and {r["source"] for r in found} == {"s0", "s1"}

@@ -39,3 +39,21 @@ def test_empty_documents(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    first = docs.first()
+    odd = spark.createDataFrame([(None, None, None, None, None), (90001, "", "en", None, 0), (90002, None, None, "x", 0), tuple(first), tuple(first)], docs.schema)
+    wide = docs.unionByName(odd).selectExpr("*", "'a' as _k1", "'b' as _all", "'c' as score", "map('k', 1) as m", "doc_id as node", "text as _row")
+    wide.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in cp.STAGES[:-1]:
+        rows = cut(stage(spark, rows, str(tmp_path)), name)
+        assert rows.dtypes == wide.dtypes and rows.count() > 0
+        found = rows.collect()
+        assert {(r["_k1"], r["_all"], r["score"], r["m"]["k"]) for r in found} == {("a", "b", "c", 1)} and all(r["node"] == r["doc_id"] for r in found)
+        if name in ("near_duplicates", "personal_data"):
+            assert sum(r["doc_id"] == first["doc_id"] for r in found) == 1 and sum(not r["text"] for r in found) == 3
+    assert cp.pack_sequences(spark, rows, str(tmp_path)).filter("piece = 0").count() == rows.count()

@@ -170,6 +170,17 @@ def test_distinct(spark):
     assert sorted(r["doc_id"] for r in full) == sorted(want) and len(kept) - len(full) == 3
 
 
+def test_distinct_with_clashing_names_and_a_map(spark):
+    names = ["_k1", "_k2", "_m", "_one", "_again", "n", "node", "label", "sig", "_c1"]
+    rows = [(i, "one two three four" if i < 3 else f"other words here {i}", *names, {"k": i % 2}) for i in (0, 1, 2, 2, 3, 4)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names, "map"])
+    for most in (10, 0):
+        got = simjoin.distinct(df, 3, 80, broadcast_rows=most)
+        assert got.dtypes == df.dtypes and sorted(map(str, got.collect())) == sorted(map(str, (r for r in df.collect()[:1] + df.collect()[4:])))
+    again = simjoin.distinct(df.filter("doc_id = 2 or doc_id = 3"), 3, 80).collect()
+    assert sorted(r["doc_id"] for r in again) == [2, 3]
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert simjoin.report(none).collect() == [] and simjoin.distinct(none).collect() == []
