@@ -12,12 +12,34 @@ from brinewave.llm import mixing
 SCHEMA = "doc_id long, text string, source string, size string, copies int"
 
 
+def targets(sizes: dict, weights: dict, total: float, cap: float = 3.0) -> dict:
+    """The share of ``total`` by weight, no source above ``cap`` times its size, the excess reshared."""
+    left, free, out = float(total), set(sizes), {}
+    while free:
+        whole = sum(weights[s] for s in free)
+        over = [s for s in free if left * weights[s] / whole > cap * sizes[s]]
+        if not over:
+            out.update({s: left * weights[s] / whole for s in free})
+            break
+        for s in over:
+            out[s] = cap * sizes[s]
+        left -= sum(out[s] for s in over)
+        free -= set(over)
+    return out
+
+
+def cycle_weights(sources: list, pattern: tuple = (5.0, 2.0, 1.0)) -> dict:
+    """Weights repeating over the sources by code point, null last."""
+    order = sorted((s for s in sources if s is not None)) + [None] * (None in sources)
+    return {s: pattern[i % len(pattern)] for i, s in enumerate(order)}
+
+
 @settings(max_examples=200, database=None)
 @given(st.lists(st.integers(0, 1000), min_size=1, max_size=9))
 def test_targets(sizes):
     per = {f"s{i}": n for i, n in enumerate(sizes)}
-    w = mixing.cycle_weights(list(per))
-    got = mixing.targets(per, w, sum(sizes))
+    w = cycle_weights(list(per))
+    got = targets(per, w, sum(sizes))
     assert sum(got.values()) == pytest.approx(sum(sizes)) and all(got[s] <= 3 * per[s] + 1e-6 for s in per)
     free = [s for s in per if got[s] < 3 * per[s] - 1e-6]
     if free:
@@ -26,7 +48,7 @@ def test_targets(sizes):
 
 
 def test_order_of_sources():
-    assert mixing.cycle_weights(["b", None, "a", "B"]) == {"B": 5.0, "a": 2.0, "b": 1.0, None: 5.0}
+    assert cycle_weights(["b", None, "a", "B"]) == {"B": 5.0, "a": 2.0, "b": 1.0, None: 5.0}
 
 
 def test_flight_keeps_balance_and_expectation():
@@ -46,7 +68,7 @@ def brute_check(rows, got):
     per, n = Counter(), Counter()
     for i, t, s, *_ in rows:
         per[s] += len((t or "").encode().split())
-    aims = mixing.targets(dict(per), mixing.cycle_weights(list(per)), sum(per.values()))
+    aims = targets(dict(per), cycle_weights(list(per)), sum(per.values()))
     took = Counter()
     for r in got:
         assert r["source_size"] == per[r["source"]] and r["target"] == pytest.approx(aims[r["source"]])
@@ -88,3 +110,15 @@ def test_take_with_clashing_names_and_a_map(spark):
         found = got.collect()
         assert all(r == rows[r["doc_id"]] for r in found)
         assert abs(len(found) - 40) < 40 and {r["source"] for r in found} == {"s0", "s1"}
+
+
+def test_taken_words_come_near_their_targets(spark):
+    rows = mixing.report(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
+    per = rows.groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"), size=("size", "sum"))
+    assert ((per.taken - per.target).abs() <= 0.01 * per.target).all(), per
+
+
+def test_many_sources(spark):
+    rows = [(i, "w " * (1 + i % 90), f"s{i % 700:04d}" if i % 701 else None, "x", 1) for i in range(5000)]
+    off = brute_check(rows, mixing.mix(spark.createDataFrame(rows, SCHEMA), broadcast_rows=0).collect())
+    assert max(off.values()) <= 90 and len(off) == 701
