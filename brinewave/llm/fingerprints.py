@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brinewave.llm.common import cut
+
 ICU_NORMALIZER = "com.ibm.icu.text.Normalizer"
 ICU_CHARACTER = "com.ibm.icu.lang.UCharacter"
 SECOND_SEED = "brinewave"
@@ -75,31 +77,55 @@ def groups(prints: DataFrame) -> DataFrame:
     return prints.groupBy("fingerprint").agg(F.min("doc_id").alias("group_doc_id"), F.count("*").alias("n_copies"))
 
 
-def with_next(df: DataFrame, per_bucket: int = 4_000) -> DataFrame:
+def with_next(df: DataFrame, per_bucket: int = 100_000) -> DataFrame:
     """(doc_id, text, next_text): the next document by id, after the last the first.
 
-    Null ids come first, rows of one id are ordered by text. Ids are dealt into
-    ranges between their approximate quantiles, one window each; every range
-    also gets the first row of the following one, so that no window spans all rows.
+    Null ids come first; rows of one id are ordered by a hash of their text, then by
+    the text. Rows are dealt into ranges of (id, hash), one window each: as many as the
+    session shuffles into where rows are few, more where a range would hold over
+    ``per_bucket`` rows, without an upper limit. The bounds come from a range
+    partitioning of ids and hashes alone, so that texts travel once; also a large
+    group of equal ids spreads over ranges. Every range gets the first row of the
+    following one.
     """
-    lowest = -(2**63)
-    base = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(lowest)).cast("long").alias("_k"))
+    spark = df.sparkSession
+    text = F.coalesce("text", F.lit(""))
+    order = F.struct(F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("k"), F.xxhash64(text).alias("h"))
+    base = df.select("doc_id", text.alias("text"), order.alias("_o"))
     n = base.count()
-    buckets = max(1, min(10_000, n // per_bucket))
-    step = int(buckets**0.5) + 1
-    bounds = sorted(set(base.agg(F.percentile_approx("_k", [i / buckets for i in range(1, buckets)] or [0.5], 100 * buckets)).first()[0] or [0]))
-    fine, coarse = F.array(*map(F.lit, bounds)), F.array(*map(F.lit, bounds[step - 1 :: step] or [2**63 - 1]))
-    block = F.size(F.filter(coarse, lambda b: b < F.col("_k"))) * step
-    bucket = (block + F.size(F.filter(F.slice(fine, block + 1, step), lambda b: b < F.col("_k")))).cast("int")
-    base = base.withColumn("_b", bucket)
-    firsts = sorted(map(tuple, base.groupBy("_b").agg(F.min("_k")).collect()))
-    follow = [(b, firsts[(i + 1) % len(firsts)][1]) for i, (b, _) in enumerate(firsts)]
-    heads = df.sparkSession.createDataFrame(follow, "_to int, _k long")
-    tails = base.join(F.broadcast(heads), "_k").groupBy("_to").agg(F.min("text").alias("text"))
-    rows = base.select("doc_id", "text", "_k", "_b", F.lit(0).alias("_end"))
-    ends = tails.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("_k"), F.col("_to").alias("_b"), F.lit(1).alias("_end"))
-    order = Window.partitionBy("_b").orderBy("_end", "_k", "text")
-    return rows.unionByName(ends).withColumn("next_text", F.lead("text").over(order)).filter("_end = 0").select("doc_id", "text", "next_text")
+    ranges = max(1, min(n // 1_000, int(spark.conf.get("spark.sql.shuffle.partitions"))), n // per_bucket)
+    light = base.select("_o").repartitionByRange(ranges, "_o").groupBy(F.spark_partition_id().alias("b")).agg(F.min("_o").alias("o"))
+    bounds = sorted((r["o"]["k"], r["o"]["h"]) for r in light.collect())
+    step = int(len(bounds) ** 0.5) + 1
+
+    def array(values: list) -> Column:
+        return F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(h).cast("long").alias("h")) for k, h in values])
+
+    # a row's range has the last bound that is not above it: among every step-th first, then among the step after that
+    met = lambda a: F.size(F.filter(a, lambda x: x <= F.col("_o")))
+    block = (met(array(bounds[::step])) - 1) * step if bounds else F.lit(0)
+    base = base.withColumn("_b", (block + met(F.slice(array(bounds), block + 1, step)) - 1).cast("int") if bounds else F.lit(0))
+    follow = [((i - 1) % len(bounds), k, h) for i, (k, h) in enumerate(bounds)]
+    heads = spark.createDataFrame(follow, "_to int, _k long, _h long").select("_to", F.struct(F.col("_k").alias("k"), F.col("_h").alias("h")).alias("_o"))
+    tails = base.join(F.broadcast(heads), "_o").groupBy("_to").agg(F.min("text").alias("text"))
+    rows = base.select("doc_id", "text", "_o", "_b", F.lit(0).alias("_end"))
+    ends = tails.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("struct<k:bigint,h:bigint>").alias("_o"), F.col("_to").alias("_b"), F.lit(1).alias("_end"))
+    window = Window.partitionBy("_b").orderBy("_end", "_o", "text")
+    return rows.unionByName(ends).withColumn("next_text", F.lead("text").over(window)).filter("_end = 0").select("doc_id", "text", "next_text")
+
+
+def with_groups(rows: DataFrame, prints: DataFrame, most: int = 100_000, least: int = 1_000) -> DataFrame:
+    """``rows`` with their fingerprint's group_doc_id and n_copies.
+
+    Groups of more copies than ``least``, and than a share of one in ``most`` of all
+    documents (so at most ``most`` groups), are broadcast, so that no task gets a
+    group whole; the others are joined by a shuffle.
+    """
+    met = groups(prints)
+    hot = F.broadcast(met.filter(F.col("n_copies") > max(least, prints.count() // most)).select(F.col("fingerprint").alias("_f"), F.col("group_doc_id").alias("_g"), F.col("n_copies").alias("_n")))
+    known = rows.join(hot, F.col("fingerprint") == F.col("_f"), "left")
+    rest = known.filter("_f is null").drop("_f", "_g", "_n").join(met, "fingerprint")
+    return rest.unionByName(known.filter("_f is not null").withColumnsRenamed({"_g": "group_doc_id", "_n": "n_copies"}).drop("_f"))
 
 
 def fingerprint_report(df: DataFrame) -> DataFrame:
@@ -122,5 +148,5 @@ def fingerprint_report(df: DataFrame) -> DataFrame:
     same = lambda f, c: F.when(F.col("fingerprint") == F.col(f), (F.col("c") == F.col(c)).cast("double")).otherwise(F.lit(0.0))
     rows = rows.withColumns({"near_edited": same("edited_fingerprint", "ce"), "near_next": same("next_fingerprint", "cn")})
     rows = resolved(resolved(rows, clash, "c", "fingerprint"), clash, "ce", "edited_fingerprint")
-    rows = rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
-    return rows.join(groups(fingerprints(df) if clash is not None else df.select("doc_id", digest(canonical(F.coalesce("text", F.lit("")))).alias("fingerprint"))), "fingerprint")
+    rows = cut(rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"), "prints")
+    return with_groups(rows, rows.select("doc_id", "fingerprint"))
