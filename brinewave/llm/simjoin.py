@@ -20,7 +20,7 @@ nodes link if 100 * intersection >= ``percent`` * union. The steps:
 3. In an index bucket all members are first compared with one leader, chosen anew
    in each round; links found join nodes to components, and buckets within one
    component are done. So a large group of near copies takes a few comparisons a
-   member, not one a pair. Rounds end when they find few links.
+   member, not one a pair. Rounds end when one links less than a tenth of all sets.
 4. What then still shares a bucket across components is compared without exception,
    in blocks of bounded size: sizes and parity bitmaps (their difference bounds the
    sets' difference from below) tell which pairs may link. A block gives the chains
@@ -479,8 +479,8 @@ def relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def after_leaders(labels: DataFrame, index: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, round_: int) -> tuple[DataFrame, int, int]:
-    """Labels after comparing members with their buckets' leaders; how many were compared, how many linked."""
+def after_leaders(labels: DataFrame, index: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, round_: int) -> tuple[DataFrame, int]:
+    """Labels after comparing members with their buckets' leaders, and how many were linked."""
     members = index.join(labels.select("node", "n", "label"), "node")
     who = F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), "node", "n", "label")
     lead = members.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(who).alias("lead")).filter("low < high")
@@ -492,9 +492,8 @@ def after_leaders(labels: DataFrame, index: DataFrame, sets_of: Callable[[DataFr
     near = near.select("node", "d", F.least("node", "lnode").alias("a"), F.greatest("node", "lnode").alias("b"))
     # of its buckets' leaders a node is compared with the nearest, in this round
     pairs = cut(near.groupBy("node").agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), f"pairs{round_}")
-    n = pairs.count()
     linked = 0
-    if n:
+    if pairs.limit(1).count():
         sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         with batches_of(pairs.sparkSession, 100):
             links = cut(verify(pairs, sets, percent).filter("linked"), f"links{round_}")
@@ -503,15 +502,16 @@ def after_leaders(labels: DataFrame, index: DataFrame, sets_of: Callable[[DataFr
             labels = relabel(labels, links)
         drop_cut(links)
     drop_cut(pairs)
-    return labels, n, linked
+    return labels, linked
 
 
 def linked_nodes(nodes: DataFrame, index: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, rounds: int, block_rows: int = 2_000, block_items: int = 1_000_000) -> DataFrame:
     """(node, label) of the indexed nodes; linked nodes share a label."""
     labels = cut(nodes.select("node", "n", "bits", F.col("node").alias("label")), "labels")
+    most = labels.count() // 10
     for round_ in range(rounds):
-        labels, n, linked = after_leaders(labels, index, sets_of, percent, round_)
-        if linked * 10 < n or not n:
+        labels, linked = after_leaders(labels, index, sets_of, percent, round_)
+        if linked <= most:
             break
     # what still shares a bucket across components, block by block
     members = index.join(labels.select("node", "label"), "node")
