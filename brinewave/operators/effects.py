@@ -43,20 +43,44 @@ def tremolo(df: DataFrame, sr: float, rate: float = 5.0, depth: float = 0.5, sha
     return df.withColumn("value", F.col("value") * ((1 - depth) + depth * lfo(shape, rate, sr)))
 
 
+#: Links of a chain that are summed as one block.
+LINKS = 64
+
+
 def comb(df: DataFrame, lag: int, feedback: float, wet: float, dry: float) -> DataFrame:
     """out[n] = dry x[n] + wet w[n - lag], w[n] = x[n] + feedback w[n - lag].
 
-    Samples of one residue modulo the lag form a chain of their own. Along it the
-    terms feedback**k fall below a double's precision after ``reach`` links, so that
-    a bounded window gives the sum.
+    Samples of one residue modulo the lag form a chain of their own, cut in blocks. A
+    window within a block gives the echoes of the block's own samples; of what came
+    before, a block needs one number, carried from block to block. So no echo is
+    dropped, whatever the feedback, and no window is longer than a block.
     """
     if lag <= 0:
         return df.withColumn("value", (dry + wet) * F.col("value"))
-    reach = 1 if feedback == 0 else min(2_000, 1 + math.ceil(-52 * math.log(2) / math.log(min(abs(feedback), 0.999)))) if abs(feedback) < 1 else 2_000
-    chain = Window.partitionBy("signal_id", F.pmod("n", F.lit(lag))).orderBy("n").rowsBetween(-reach, -1)
-    past = F.collect_list("value").over(chain)
-    echo = F.aggregate(past, F.lit(0.0), lambda acc, x: acc * feedback + x)
-    return df.withColumn("value", dry * F.col("value") + wet * echo)
+    import pandas as pd
+
+    link = F.floor(F.col("n") / lag)
+    rows = df.withColumns({"_chain": F.pmod("n", F.lit(lag)), "_block": F.floor(link / LINKS), "_at": F.pmod(link, F.lit(LINKS))})
+    power = lambda k: F.pow(F.lit(float(feedback)), k.cast("double"))
+    kind = df.schema["signal_id"].dataType.simpleString()
+
+    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_block")
+        state, out, last = 0.0, [], None
+        for block, x in zip(pdf["_block"], pdf["_sum"], strict=True):
+            # blocks without a sample only damp
+            state *= (feedback**LINKS) ** (0 if last is None else block - last - 1)
+            out.append(state)
+            state, last = x + feedback**LINKS * state, block
+        return pdf.assign(_state=out)[["signal_id", "_chain", "_block", "_state"]]
+
+    sums = rows.groupBy("signal_id", "_chain", "_block").agg(F.sum(F.col("value") * power(LINKS - 1 - F.col("_at"))).alias("_sum"))
+    states = sums.groupBy("signal_id", "_chain").applyInPandas(carry, f"signal_id {kind}, _chain long, _block long, _state double")
+    past = F.collect_list("value").over(Window.partitionBy("signal_id", "_chain", "_block").orderBy("n").rowsBetween(-LINKS, -1))
+    own = F.aggregate(past, F.lit(0.0), lambda acc, x: acc * feedback + x)
+    met = rows.withColumn("_own", own).join(states, ["signal_id", "_chain", "_block"])
+    out = met.withColumn("value", dry * F.col("value") + wet * (F.col("_own") + power(F.col("_at")) * F.col("_state")))
+    return out.select(*df.columns)
 
 
 def delay(df: DataFrame, sr: float, delay_time: float = 0.5, feedback: float = 0.4, wet: float = 0.5, dry: float = 1.0) -> DataFrame:

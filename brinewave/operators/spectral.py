@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brinewave.functions import arrays as A
 from brinewave.functions.arrays import EPS, total
+from brinewave.operators.kernels import by_length
 
 
 def spectrum(df: DataFrame, n: int, window: str | None = None, periodic: bool = False, bins: int | None = None) -> DataFrame:
@@ -127,21 +130,29 @@ def mel_power(p: Column, filters: list[list[float]]) -> Column:
     return F.array(*[total(A.times(p, A.literal(row))) for row in filters])
 
 
-def log_power(s: Column, top: Column, top_db: float = 80.0) -> Column:
-    """Decibels below ``top`` (the signal's largest), floored at ``top_db``."""
-    db = lambda x: 10 * F.log10(F.greatest(F.lit(1e-10), x))
-    return F.transform(s, lambda x: F.greatest(db(x) - db(top), F.lit(-top_db)))
+def mfcc(df: DataFrame, n: int, sr: float, n_mels: int = 128, n_mfcc: int = 13, top_db: float = 80.0) -> DataFrame:
+    """Frames (signal_id, frame, samples) with ``mfcc``; the reference level is each signal's largest.
 
+    Mel powers and cosine transforms are matrix products over the frames of an Arrow
+    batch; between them one shuffle finds the signals' levels. Frames that are null or
+    not n samples long give null.
+    """
+    taper, filters = np.array(A.window("hann", n, periodic=True)), np.array(mel_filters(sr, n, n_mels))
+    i, j = np.arange(n_mfcc)[:, None], np.arange(n_mels)
+    basis = np.sqrt(np.where(i == 0, 1, 2) / n_mels) * np.cos(np.pi * i * (2 * j + 1) / (2 * n_mels))
 
-def cosine_transform(a: Column, n: int, k: int) -> Column:
-    """The first k coefficients of the orthonormal DCT-II of n values."""
-    rows = [[math.sqrt((1 if i == 0 else 2) / n) * math.cos(math.pi * i * (2 * j + 1) / (2 * n)) for j in range(n)] for i in range(k)]
-    return F.array(*[total(A.times(a, A.literal(r))) for r in rows])
+    @F.pandas_udf("array<double>")
+    def mel_of(samples: pd.Series) -> pd.Series:
+        frames = (None if x is None or len(x) != n else x for x in samples)
+        return pd.Series(by_length(frames, lambda x: np.abs(np.fft.rfft(x * taper)) ** 2 @ filters.T), dtype=object)
 
+    @F.pandas_udf("array<double>")
+    def cosines(mel: pd.Series, top: pd.Series) -> pd.Series:
+        floor = 10 * np.log10(np.maximum(1e-10, top.to_numpy(float)))
+        level = (None if x is None else np.append(x, f) for x, f in zip(mel, floor, strict=True))
+        db = lambda x: np.maximum(10 * np.log10(np.maximum(1e-10, x[:, :-1])) - x[:, -1:], -top_db)
+        return pd.Series(by_length(level, lambda x: db(x) @ basis.T), dtype=object)
 
-def mfcc(df: DataFrame, n: int, sr: float, n_mels: int = 128, n_mfcc: int = 13) -> DataFrame:
-    """Frames (signal_id, frame, samples) with ``mfcc``; the reference level is each signal's largest."""
-    framed = df.withColumn("_mel", mel_power(A.power(A.dft(A.windowed(F.col("samples"), "hann", n, periodic=True), n)), mel_filters(sr, n, n_mels)))
+    framed = df.withColumn("_mel", mel_of("samples"))
     top = framed.groupBy("signal_id").agg(F.max(F.array_max("_mel")).alias("_top"))
-    logged = framed.join(top, "signal_id").withColumn("_log", log_power(F.col("_mel"), F.col("_top")))
-    return logged.withColumn("mfcc", cosine_transform(F.col("_log"), n_mels, n_mfcc)).drop("_mel", "_log", "_top")
+    return framed.join(top, "signal_id").withColumn("mfcc", cosines("_mel", "_top")).drop("_mel", "_top")

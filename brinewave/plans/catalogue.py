@@ -338,7 +338,7 @@ def _point(expr: str, digits: int = 6) -> str:
     return f"select signal_id, n, round({expr}, {digits}) + 0.0 as value from s"
 
 
-def _comb(lag: int, feedback: float | str, wet: float, dry: float) -> str:
+def _comb(lag: int, feedback: float | str, wet: float | str, dry: float) -> str:
     return f"""select a.signal_id, a.n, round(any_value(a.v) * {dry} + {wet} * coalesce(sum(pow({feedback}, (a.n - b.n) // {lag} - 1) * b.v), 0), 5) + 0.0 as value
         from s a left join s b on a.signal_id = b.signal_id and b.n < a.n and (a.n - b.n) % {lag} = 0 group by 1, 2"""
 
@@ -349,6 +349,7 @@ _effect("tremolo_sine", _point("v * (0.4 + 0.6 * sin(2 * pi() * n / 100.0 * 3))"
 _effect("tremolo_triangle", _point("v * (0.4 + 0.6 * case when n * 0.03125 - floor(n * 0.03125) < 0.5 then 4 * (n * 0.03125 - floor(n * 0.03125)) - 1 else 3 - 4 * (n * 0.03125 - floor(n * 0.03125)) end)"), lambda d: effects.tremolo(d, 32.0, 1.0, 0.6, "triangle"))
 _effect("tremolo_square", _point("v * (0.4 + 0.6 * sign(sin(2 * pi() * (n / 100.0 * 7.3))))"), lambda d: effects.tremolo(d, 100.0, 7.3, 0.6, "square"))
 _effect("delay_feedback", _comb(5, 0.4, 0.5, 1.0), lambda d: effects.delay(d, 100.0, 0.05, 0.4, 0.5, 1.0), 5)
+_effect("delay_long_feedback", _comb(1, 0.999, "(1.0 / 3)", 1.0), lambda d: effects.delay(d, 100.0, 0.01, 0.999, 1 / 3, 1.0), 5)
 _effect("chorus_compat", _comb(5, 0.2, 0.5, 1.0), lambda d: effects.chorus(d, 100.0), 5)
 _effect("flanger_compat", _comb(3, "(1.0 / 3)", 0.5, 0.5), lambda d: effects.flanger(d, 100.0, depth=0.0005, delay=0.001, feedback=1 / 3), 5)
 _effect("amplify", _point("v * 2"), lambda d: effects.amplify(d))
@@ -484,9 +485,9 @@ def image_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("image_bilinear", f"""with {E}, o as (select cast(unnest(generate_series(0, 3)) as bigint) as i), y as (select i, i * 7 / 3.0 as x, least(cast(floor(i * 7 / 3.0) as bigint), 7) as lo from o),
-    z as (select a.i * 4 + b.i as n, a.lo as rl, least(a.lo + 1, 7) as rh, a.x - a.lo as rw, b.lo as cl, least(b.lo + 1, 7) as ch, b.x - b.lo as cw from y a cross join y b)
-    select e1.signal_id, z.n, round((e1.v * (1 - cw) + e2.v * cw) * (1 - rw) + (e3.v * (1 - cw) + e4.v * cw) * rw, 6) + 0.0 as value from z
-    join e e1 on e1.n = rl * 8 + cl join e e2 on e2.signal_id = e1.signal_id and e2.n = rl * 8 + ch join e e3 on e3.signal_id = e1.signal_id and e3.n = rh * 8 + cl join e e4 on e4.signal_id = e1.signal_id and e4.n = rh * 8 + ch""")
+    z as (select a.i * 4 + b.i as n, a.lo as rl, least(a.lo + 1, 7) as rh, a.x - a.lo as rw, b.lo as cl, least(b.lo + 1, 7) as ch, b.x - b.lo as cw from y a cross join y b),
+    w as materialized (select n, rl * 8 + cl as at, (1 - rw) * (1 - cw) as w from z union all select n, rl * 8 + ch, (1 - rw) * cw from z union all select n, rh * 8 + cl, rw * (1 - cw) from z union all select n, rh * 8 + ch, rw * cw from z)
+    select e.signal_id, w.n, round(sum(e.v * w.w), 6) + 0.0 as value from e join w on e.n = w.at group by 1, 2""")
 def image_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir).withColumn("image", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("samples", i * 8 + 1, F.lit(8))))
     return spread(rows, F.flatten(assemble.resize(F.col("image"), (8, 8), (4, 4))), "value")
