@@ -192,7 +192,7 @@ def alike(rows: DataFrame, name: str, *more: str) -> DataFrame:
     return met.select(name, *more, "n", F.concat_ws(":", *more, "_d", "n", "_b1", "_b2").alias("_class"))
 
 
-def disclosures(df: DataFrame, held: DataFrame, generalise_at: float, broadcast_rows: int = 200_000) -> DataFrame:
+def disclosures(df: DataFrame, held: DataFrame, generalise_at: float, broadcast_rows: int = 50_000) -> DataFrame:
     """(_h1, _h2, term, disclosure) above the lower threshold; counts are over all rows of ``df``.
 
     ``held`` has each document with mentions once: _h1, _h2, _m, its entities and words.
