@@ -84,14 +84,14 @@ def by_letter_runs(tokenizer_json: str) -> bool:
 class Ids:
     """Part of a text -> the bytes of its ids; each table forgets all once it is large."""
 
-    def __init__(self, tokenizer, most: int = 400_000, whole: bool = False):
+    def __init__(self, tokenizer, most: int = 1_000_000, whole: bool = False):
         self.tokenizer, self.most, self.whole = tokenizer, most, whole
         self.parts: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
     def add(self, new: Iterable[str]) -> None:
         """Make the ids of parts that are not known yet."""
-        if len(self.runs) > 2 * self.most:
+        if len(self.runs) > self.most:
             self.runs.clear()
         runs, simple = self.runs, SIMPLE.fullmatch
         one: dict[str, str] = {}
