@@ -14,7 +14,7 @@ BOTH = {
     "unique_counts": "select count(distinct l_suppkey) as suppliers, count(distinct l_partkey) as parts, count(distinct l_shipdate) as days from {lineitem}",
     "join_inner": "select c_custkey, n_name, r_name from {customer} join {nation} on c_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey",
     "join_left": "select c_custkey, o_orderkey from {customer} left join {orders} on c_custkey = o_custkey and o_totalprice > 300000",
-    "join_full": "select s_suppkey, c_custkey from (select * from {supplier} where s_suppkey % 2 = 0) s full join (select * from {customer} where c_custkey % 3 = 0) c on s_suppkey = c_custkey",
+    "join_full": "select s_suppkey, c_custkey from {supplier} full join {customer} on s_suppkey = c_custkey",
     "join_right": "select n_nationkey, s_suppkey from {supplier} right join {nation} on s_nationkey = n_nationkey and s_acctbal > 5000",
     "join_semi": "select c_custkey from {customer} where exists (select 1 from {orders} where o_custkey = c_custkey and o_orderstatus = 'F')",
     "join_anti": "select c_custkey from {customer} where not exists (select 1 from {orders} where o_custkey = c_custkey)",
