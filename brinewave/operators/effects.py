@@ -147,16 +147,28 @@ def widen(df: DataFrame, width: float = 1.5) -> DataFrame:
     return df.withColumns({"left": mid + width * side, "right": mid - width * side})
 
 
-def equalise(df: DataFrame, bands: dict[float, float], sr: float, q: float = 1.414, mode: str = "compat") -> DataFrame:
-    """Peaking equaliser. ``compat`` leaves the signal as it is, as results to match do."""
+def equalise(df: DataFrame, bands: dict[float, float], sr: float, q: float = 1.414, mode: str = "compat", kinds: dict[float, str] | None = None) -> DataFrame:
+    """Equaliser. ``compat`` leaves the signal as it is, as results to match do.
+
+    ``kinds`` names a band's filter: peak (the default), low_shelf, high_shelf, notch (its gain is not used).
+    """
+    kinds = kinds or {}
     for f in bands:
         if not 0 < f < sr / 2:
             raise ValueError("band frequencies must lie between 0 and half the sampling rate")
+        if kinds.get(f, "peak") not in ("peak", "low_shelf", "high_shelf", "notch"):
+            raise ValueError(f"unknown kind of band: {kinds[f]!r}")
     if mode == "compat":
         return df
-    from brinewave.operators.kernels import peaking_sos, sos_filter
+    from brinewave.operators import kernels as K
+
+    def section(f: float, gain_db: float):
+        kind = kinds.get(f, "peak")
+        if kind == "notch":
+            return K.notch_sos(f, q, sr)
+        return K.peaking_sos(f, gain_db, q, sr) if kind == "peak" else K.shelf_sos(f, gain_db, q, sr, kind == "high_shelf")
 
-    return sos_filter(df, [peaking_sos(f, g, q, sr) for f, g in bands.items()], zero_phase=False)
+    return K.sos_filter(df, [section(f, g) for f, g in bands.items()], zero_phase=False)
 
 
 def clip_pcm(df: DataFrame) -> DataFrame:

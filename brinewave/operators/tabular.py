@@ -36,10 +36,10 @@ def filter_rows(df: DataFrame, text: str, variables: dict | None = None) -> Data
     return df.filter(condition(text, df.columns, variables))
 
 
-def transform(df: DataFrame, expressions: dict[str, str] | None = None, drop: list[str] | None = None, rename: dict[str, str] | None = None, select: list[str] | None = None, sort: list[str] | None = None) -> DataFrame:
-    """Derived columns, then drop, rename, select, sort (a leading minus sorts downwards)."""
+def transform(df: DataFrame, expressions: dict[str, str] | None = None, drop: list[str] | None = None, rename: dict[str, str] | None = None, select: list[str] | None = None, sort: list[str] | None = None, functions: dict | None = None) -> DataFrame:
+    """Derived columns (which may call ``functions``, such as a registry's), then drop, rename, select, sort (a leading minus sorts downwards)."""
     for name, text in (expressions or {}).items():
-        df = df.withColumn(name, expression(text, columns=df.columns))
+        df = df.withColumn(name, expression(text, columns=df.columns, functions=functions))
     df = df.drop(*(drop or [])).withColumnsRenamed(rename or {})
     if select:
         df = df.select(*select)
@@ -71,6 +71,24 @@ def describe(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*stats).alias("s")).select(F.explode("s").alias("s")).select("s.*")
 
 
+def head(df: DataFrame, order: list[Column], n: int = 5) -> DataFrame:
+    """The first n rows in an order that ends with a unique key."""
+    return df.orderBy(*order).limit(n)
+
+
+def tail(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
+    """The last n rows by columns, first to last; a bounded sort in reverse, never the whole table."""
+    return df.orderBy(*[F.desc(c) for c in order]).limit(n).orderBy(*order)
+
+
+def show(df: DataFrame, n: int = 20, form: str = "table") -> str:
+    """At most n rows as text: a table, CSV or JSON lines."""
+    rows = df.limit(n).toPandas()
+    if form not in ("table", "csv", "json"):
+        raise ValueError("form must be 'table', 'csv' or 'json'")
+    return rows.to_string(index=False) if form == "table" else rows.to_csv(index=False) if form == "csv" else rows.to_json(orient="records", lines=True)
+
+
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

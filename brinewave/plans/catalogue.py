@@ -410,18 +410,20 @@ def segment_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.by_silence(events(spark, sf_dir), 100.0, -6.0, 0.06, 0.06, 0.025, 8, 4)
 
 
-EVENTS_AT = f"with {S}, {C}, p as (select signal_id, n as event_id, n / 100.0 as t from s where n % 20 = 7)"
+EVENTS_AT = f"""with {S}, {C}, p as (select signal_id, n as event_id, n / 100.0 as t from (select user_id as signal_id, event_type, cast(row_number() over (partition by user_id order by event_id) - 1 as bigint) as n from events) where event_type = 'purchase')"""
 
 
-def _event_times(long: DataFrame) -> DataFrame:
-    return long.filter("n % 20 = 7").select("signal_id", F.col("n").alias("event_id"), (F.col("n") / 100.0).alias("time_s"))
+def _event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = table(spark, sf_dir, "events").withColumn("bought", (F.col("event_type") == "purchase").cast("int"))
+    rows = signals.long_from_rows(marked, "user_id", ["event_id"], "bought").filter("value = 1")
+    return rows.select("signal_id", F.col("n").alias("event_id"), (F.col("n") / 100.0).alias("time_s"))
 
 
 @query("segment_event", f"""{EVENTS_AT}, q as (select p.signal_id, event_id, greatest(0, cast(floor(t * 100) as bigint) - 5) as start, least(c, cast(floor(t * 100) as bigint) + 20) as "end" from p join c using (signal_id))
     select * from q where start < "end" """)
 def segment_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = events(spark, sf_dir)
-    return segment.by_event(_event_times(long), long.groupBy("signal_id").agg(F.count("*").alias("c")), 100.0)
+    return segment.by_event(_event_times(spark, sf_dir), long.groupBy("signal_id").agg(F.count("*").alias("c")), 100.0)
 
 
 def _scale(kind: str, shift: str, width: str) -> None:
@@ -444,26 +446,29 @@ def scale_prefit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("s_suppkey", r("s_acctbal").alias("s_acctbal"))
 
 
-SEGMENTS = f"""with {S}, {C}, g as (select signal_id, c, cast(unnest([0, 1, 2]) as bigint) as segment_id, unnest([0, 10, 30]) as a, unnest([10, 30, 1000]) as b from c)"""
+SEGMENTS = f"""with {S}, {C}, g as (select signal_id, c, cast(unnest([0, 1, 2, 3]) as bigint) as segment_id, unnest([0, 10, 30, 30]) as a, unnest([10, 30, c, c + 1]) as b from c)"""
 
 
 def _segments(long: DataFrame) -> DataFrame:
-    parts = F.array(*[F.struct(F.lit(i).cast("long").alias("segment_id"), F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end")) for i, (a, b) in enumerate([(0, 10), (10, 30), (30, 1000)])])
-    return long.select("signal_id").distinct().select("signal_id", F.explode(parts).alias("p")).select("signal_id", "p.*")
+    """Three segments up to the signal's end, and one beyond it, which is invalid."""
+    spans = [(0, F.lit(10)), (10, F.lit(30)), (30, F.col("c")), (30, F.col("c") + 1)]
+    parts = F.array(*[F.struct(F.lit(i).cast("long").alias("segment_id"), F.lit(a).cast("long").alias("start"), b.cast("long").alias("end")) for i, (a, b) in enumerate(spans)])
+    return long.groupBy("signal_id").agg(F.count("*").alias("c")).select("signal_id", F.explode(parts).alias("p")).select("signal_id", "p.*")
 
 
 def _vectors(name: str, aggregation: str, oracle: str) -> None:
-    @query(f"vectors_{name}", f"{SEGMENTS} select g.signal_id, g.segment_id, round({oracle}, 6) + 0.0 as value from g left join s on s.signal_id = g.signal_id and s.n >= a and s.n < b and b <= c group by 1, 2")
+    @query(f"vectors_{name}", f"{SEGMENTS} select g.signal_id, g.segment_id, round({oracle}, 8) + 0.0 as value from g left join s on s.signal_id = g.signal_id and s.n >= a and s.n < b and b <= c group by 1, 2")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         long = events(spark, sf_dir)
         features = long.select("signal_id", F.col("n").alias("frame"), "value")
-        return assemble.vectors(features, _segments(long), aggregation, ["value"]).select("signal_id", "segment_id", r("value").alias("value"))
+        return assemble.vectors(features, _segments(long), aggregation, ["value"]).select("signal_id", "segment_id", r("value", 8).alias("value"))
 
 
 _vectors("mean", "mean", "avg(v)")
 _vectors("std", "std", "stddev_pop(v)")
 _vectors("median", "median", "median(v)")
 _vectors("max", "max", "max(v)")
+_vectors("min", "min", "min(v)")
 
 
 def _sequences(name: str, truncate: str, first: str) -> None:
@@ -570,6 +575,16 @@ def join_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tabular.as_of_join(left, right, ["user_id"], "event_id").select("event_id", "previous_id")
 
 
+@query("head_rows", "select * from (select o_orderkey, o_totalprice from orders order by o_totalprice, o_orderkey limit 7)")
+def head_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tabular.head(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.asc("o_totalprice"), F.asc("o_orderkey")], 7)
+
+
+@query("tail_rows", "select * from (select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey desc limit 7)")
+def tail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tabular.tail(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 7)
+
+
 @query("topk_per_group", "select n_nationkey, c_custkey from (select c_nationkey as n_nationkey, c_custkey, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as k from customer) where k <= 3")
 def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tabular.top_k(table(spark, sf_dir, "customer"), ["c_nationkey"], [F.desc("c_acctbal"), F.asc("c_custkey")], 3)
@@ -592,6 +607,14 @@ def sqlite_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["sqlite_dialect"] = ORACLES["sqlite_dialect"].replace("coalesce(sum(c_acctbal), 0)", "round(coalesce(sum(c_acctbal), 0), 2)")
 
 
+@query("sqlite_numbers", """select c_custkey, c_custkey // 7 as third, case when c_nationkey = 0 then null else c_custkey // c_nationkey end as by_nation, round(c_acctbal / 7, 6) as share,
+    cast(regexp_extract(c_name, '[0-9]+') as bigint) as number, cast(0 as bigint) as nothing from customer""")
+def sqlite_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tabular.run_sql(table(spark, sf_dir, "customer"), """select c_custkey, 2 * c_custkey / (7 * 2) as third, df.c_custkey / df.c_nationkey as by_nation, c_acctbal / 7 as share,
+        cast(substr(c_name, instr(c_name, '#') + 1) || ' of many' as integer) as number, cast(c_mktsegment as integer) as nothing from df""", dialect="sqlite")
+    return rows.withColumn("share", r("share"))
+
+
 # -- the feature driver and plot data ------------------------------------------------
 
 
@@ -615,12 +638,18 @@ def features_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.catalog(spark)
 
 
-@query("spectrogram")
+@query("spectrogram", f"""with {S}, {C}, g as (select signal_id, unnest(generate_series(0, (c - 16) // 8)) as frame from c where c >= 16),
+    x as (select g.signal_id, g.frame, s.n - g.frame * 8 as p, v from g join s on s.signal_id = g.signal_id and s.n >= g.frame * 8 and s.n < g.frame * 8 + 16),
+    d as (select signal_id, frame, p, (v - avg(v) over (partition by signal_id, frame)) * (0.5 - 0.5 * cos(2 * pi() * p / 16)) as v from x),
+    t as (select signal_id, frame, k, sum(v * cos(2 * pi() * k * p / 16)) as re, sum(v * sin(2 * pi() * k * p / 16)) as im from d cross join (select cast(unnest(generate_series(0, 8)) as bigint) as k) group by 1, 2, 3)
+    select signal_id, frame, k * 100.0 / 16 as frequency, round(10 * log10((re * re + im * im) / (100.0 * 6) * case when k in (0, 8) then 1 else 2 end + 2.22e-16), 4) + 0.0 as db from t""")
 def spectrogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plots.spectrogram(events(spark, sf_dir), 100.0, 16, 8).withColumn("db", r("db", 4))
 
 
-@query("phase_unwrapped")
+@query("phase_unwrapped", f"""with {E}, {dft_sql()}, a as (select signal_id, k, case when k in (0, 32) then case when re < 0 then pi() else 0 end else atan2(im, re) end as p from sp),
+    d as (select signal_id, k, p, p - lag(p) over (partition by signal_id order by k) as step from a)
+    select signal_id, k, round(p + 2 * pi() * sum(coalesce(-round(step / (2 * pi())), 0)) over (partition by signal_id order by k), 5) + 0.0 as phase from d""")
 def phase_unwrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plots.unwrapped_phase(spectral.bins(spectra(spark, sf_dir), N, FS, "signal_id")).withColumn("phase", r("phase", 5))
 
@@ -638,4 +667,4 @@ def waveform(spark: SparkSession, sf_dir: str) -> DataFrame:
 for _name, (_spark, _duck) in TABULAR.items():
     _sql(_name, _spark, _duck)
 
-from brinewave.plans import kernel_queries  # noqa: E402,F401
+from brinewave.plans import kernel_queries, source_queries  # noqa: E402,F401

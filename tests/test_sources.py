@@ -1,10 +1,12 @@
 """Readers, writers, the registry, streams."""
 
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brinewave.operators import time_windows
+from brinewave.operators import tabular, time_windows
 from brinewave.sources import formats
 from brinewave.streaming import windows
 
@@ -110,3 +112,52 @@ def test_stateful_smoothing(spark, tmp_path):
         y = r["value"] if r["user_id"] not in last else 0.3 * r["value"] + 0.7 * last[r["user_id"]]
         last[r["user_id"]] = want[r["user_id"], r["event_id"]] = y
     assert got == pytest.approx(want)
+
+
+def test_arrays_in_memory(tmp_path):
+    grid = np.arange(6.0).reshape(2, 3)
+    formats.save_arrays(grid, f"{tmp_path}/g.npz")
+    assert (np.load(f"{tmp_path}/g.npz")["data"] == grid).all()
+    formats.save_arrays(grid, f"{tmp_path}/g.csv")
+    assert (tmp_path / "g.csv").read_text().splitlines() == ["0.0,1.0,2.0", "3.0,4.0,5.0"]
+    formats.save_arrays(grid[0], f"{tmp_path}/v.csv")
+    assert (tmp_path / "v.csv").read_text().splitlines() == ["value", "0.0", "1.0", "2.0"]
+    formats.save_arrays({"a": grid, "b": grid[0]}, f"{tmp_path}/n.npz")
+    assert sorted(np.load(f"{tmp_path}/n.npz").files) == ["a", "b"]
+    for bad in ((grid[None], "x.csv"), ({"a": grid}, "x.csv"), (grid, "x.json")):
+        with pytest.raises(ValueError):
+            formats.save_arrays(bad[0], f"{tmp_path}/{bad[1]}")
+
+
+def test_bundles_round_trip(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        np.savez(f"{tmp_path}/in/b{i}.npz", x=np.arange(i + 1), y=np.full((2, 2), i / 4, np.float32))
+    formats.write_bundles(formats.read_npz(spark, f"{tmp_path}/in"), f"{tmp_path}/out")
+    for i in range(3):
+        got = np.load(f"{tmp_path}/out/b{i}.npz")
+        assert (got["x"] == np.arange(i + 1)).all() and got["x"].dtype == np.int64
+        assert (got["y"] == i / 4).all() and got["y"].dtype == np.float32 and got["y"].shape == (2, 2)
+
+
+def test_points_and_records(spark, tmp_path):
+    (tmp_path / "p.json").write_text('[{"time": 0, "amplitude": 1.5}, {"time": 1, "amplitude": -2}]')
+    row = formats.read_points(spark, f"{tmp_path}/p.json", 8.0).first()
+    assert row["samples"] == [1.5, -2.0] and row["sr"] == 8.0
+    df = spark.range(10, numPartitions=3).selectExpr("id", "if(id = 4, null, concat('\"', id)) as t")
+    formats.write(df, f"{tmp_path}/r.json", records=True)
+    assert sorted(map(tuple, formats.read(spark, f"{tmp_path}/r.json").select("id", "t").collect())) == sorted(map(tuple, df.collect()))
+    for part in (tmp_path / "r.json").glob("part-*.txt"):
+        assert isinstance(json.loads(part.read_text()), list)
+
+
+def test_show(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "a int, b string").coalesce(1).orderBy("a")
+    assert tabular.show(df, 1, "csv") == "a,b\n1,x\n"
+    assert tabular.show(df, 2, "json").splitlines() == ['{"a":1,"b":"x"}', '{"a":2,"b":"y"}']
+    assert "x" in tabular.show(df)
+    with pytest.raises(ValueError):
+        tabular.show(df, 1, "xml")
+    registry = formats.default_registry()
+    registry.register(lambda x: x * 2, name="twice")
+    assert tabular.transform(df, {"c": "twice(a) + 1"}, functions=registry.functions).first()["c"] == 3
