@@ -16,7 +16,7 @@ crossovers the shard that placed a piece went through (0: a whole sequence).
 
 Where the tokenizer's settings are the ones that LETTER_RUNS describes, white
 space never lies inside a token, so the parts between are tokenized apart and
-their ids kept in a bounded memory; other tokenizers get whole texts. A special
+the ids of those met lately kept in a bounded memory; other tokenizers get whole texts. A special
 token's string in a text is that token. Null texts are empty: one end id. Equal
 documents are packed each. An empty table gives an empty result. Only doc_id and
 text are looked at.
@@ -28,13 +28,14 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, pairwise
 from struct import Struct
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +49,8 @@ WHOLE = 1 << 60  # sequence ids of whole sequences start here, those of a level
 #: Letters whose lower case is one letter and stays in place, then punctuation without apostrophes:
 #: the tokenizer, too, takes such a part's letters and punctuation apart.
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+LETTERS = "".join(c for c in map(chr, range(256)) if SIMPLE.fullmatch(c))
+MARKS = "".join(c for c in map(chr, range(256)) if SIMPLE.fullmatch(f"a{c}") and c not in LETTERS)
 RARE_SPACE = re.compile(r"[\x1c-\x1f]")
 pack_ids = [Struct(f"<{n}I").pack for n in range(12)]
 
@@ -81,70 +84,85 @@ def by_letter_runs(tokenizer_json: str) -> bool:
     )
 
 
+class Recent:
+    """Strings -> bytes that ``make`` gives; once ``most`` were met, those not met since the last time are forgotten."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]], most: int):
+        self.make, self.most = make, most
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def values(self, keys: list[str]) -> list[bytes]:
+        """The bytes of distinct strings."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        found = list(map(young.get, keys))
+        if None in found:
+            new = []
+            for k, v in zip(keys, found, strict=True):
+                if v is None:
+                    if (v := old.get(k)) is None:
+                        new.append(k)
+                    else:
+                        young[k] = v
+            young.update(zip(new, self.make(new), strict=True))
+            found = list(map(young.__getitem__, keys))
+        return found
+
+
+def gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Parts of ``data``, by where they start and how long they are, joined."""
+    before = np.cumsum(length) - length
+    return data[np.repeat(start - before, length) + np.arange(length.sum())]
+
+
 class Ids:
-    """Part of a text -> the bytes of its ids; each table forgets all once it is large."""
-
-    def __init__(self, tokenizer, most: int = 1_000_000, whole: bool = False):
-        self.tokenizer, self.most, self.whole = tokenizer, most, whole
-        self.parts: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-
-    def add(self, new: Iterable[str]) -> None:
-        """Make the ids of parts that are not known yet."""
-        if len(self.runs) > self.most:
-            self.runs.clear()
-        runs, simple = self.runs, SIMPLE.fullmatch
-        one: dict[str, str] = {}
-        two: dict[str, tuple[str, str]] = {}
-        for p in new:
-            if p.isascii() and p.isalpha():
-                one[p] = p.lower()
-            elif (m := simple(p)) and m[2]:
-                two[p] = (m[1].lower(), m[2])
-            else:
-                one[p] = m[1].lower() if m else p
-        todo = set(one.values())
-        for pair in two.values():
-            todo.update(pair)
-        todo = list(todo.difference(runs))
-        for at in range(0, len(todo), 5_000):
-            some = todo[at : at + 5_000]
-            for r, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+    """The bytes of texts' ids. The table holds about 2 * ``most`` strings and those of two calls."""
+
+    def __init__(self, tokenizer, most: int = 200_000, whole: bool = False):
+        self.tokenizer, self.whole = tokenizer, whole
+        self.runs = Recent(self.made, most)
+
+    def made(self, runs: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(runs), 5_000):
+            for e in self.tokenizer.encode_batch_fast(runs[at : at + 5_000], add_special_tokens=False):
                 ids = e.ids
-                runs[r] = pack_ids[len(ids)](*ids) if len(ids) < len(pack_ids) else np.array(ids, "<u4").tobytes()
-        known = self.parts
-        for p, r in one.items():
-            known[p] = runs[r]
-        for p, (r, t) in two.items():
-            known[p] = runs[r] + runs[t]
-
-    def encode(self, texts: list[str], step: int = 100_000) -> list[bytes]:
-        """The ids of whole texts; at most about ``step`` parts are new at a time."""
-        if self.whole:
-            return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-        out: list[bytes] = []
-        some: list[list[str]] = []
-
-        def finish() -> None:
-            if len(self.parts) > self.most:
-                self.parts.clear()
-            known = self.parts
-            if new := set(chain.from_iterable(some)).difference(known):
-                self.add(new)
-            out.extend(b"".join(map(self.parts.__getitem__, parts)) for parts in some)
-            some.clear()
-
-        held = 0
-        for text in texts:
-            parts = parts_of(text)
-            some.append(parts)
-            held += len(parts)
-            if held > step:
-                finish()
-                held = 0
-        finish()
+                out.append(pack_ids[len(ids)](*ids) if len(ids) < len(pack_ids) else np.array(ids, "<u4").tobytes())
         return out
 
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of whole texts; each distinct run of their parts is looked up once."""
+        texts = texts.fill_null("")
+        if self.whole:
+            yield from (np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts.to_pylist())
+            return
+        if pc.any(pc.match_substring_regex(texts, RARE_SPACE.pattern)).as_py():
+            lists = pa.array(map(parts_of, texts.to_pylist()), pa.list_(texts.type))
+        else:
+            lists = pc.utf8_split_whitespace(texts)  # empty parts have no ids
+        coded = lists.flatten().dictionary_encode()
+        parts, index, place = coded.dictionary, coded.indices.to_numpy(), np.asarray(lists.offsets)
+        simple = pc.match_substring_regex(parts, f"^(?:{SIMPLE.pattern})$")
+        first = pc.if_else(simple, pc.utf8_rtrim(pc.utf8_lower(parts), MARKS), parts)
+        runs = pa.concat_arrays([first, pc.if_else(simple, pc.utf8_ltrim(parts, LETTERS), "")]).dictionary_encode()
+        known = self.runs.values(runs.dictionary.to_pylist())
+        length = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        start, both = np.cumsum(length) - length, runs.indices.to_numpy().reshape(2, -1)
+        data = gathered(np.frombuffer(b"".join(known), "<u4"), start[both.T.ravel()], length[both.T.ravel()])
+        length = length[both].sum(axis=0)
+        start = np.cumsum(length) - length
+        for a, b in pairwise(place.tolist()):
+            own = index[a:b]
+            yield gathered(data, start[own], length[own]).tobytes()
+
+
+def by_bytes(texts: pa.Array, most: int = 1 << 24) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` bytes each."""
+    size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+    return pairwise([0, *(np.flatnonzero(np.diff(size // most)) + 1).tolist(), len(texts)])
+
 
 _KEPT: dict[int, Ids] = {}
 
@@ -169,10 +187,10 @@ def pieces(df: DataFrame, tokenizer_json: str, limit: int = 4096, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, last = kept(shared.value), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for first, stop in by_bytes(batch["text"]):
+                part = batch.slice(first, stop - first)
                 rows, place = [], []
-                for i, data in enumerate(seen.encode([t.as_py() or "" for t in part["text"]])):
+                for i, data in enumerate(seen.encode(part["text"])):
                     data += last
                     for k, start in enumerate(range(0, len(data), 4 * limit)):
                         own = data[start : start + 4 * limit]

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from brinewave.llm import packing
@@ -112,3 +113,14 @@ def test_ids_come_back(spark):
     with open(PATH) as f:
         got = cut(packing.pieces(rows, f.read(), with_ids=True), "t").first()
     assert np.frombuffer(got["ids"], "<u4").tolist() == ids_of(Tokenizer.from_file(PATH), "some words here")
+
+
+def test_ids_of_strings_that_are_not_met_again_are_forgotten():
+    tok = Tokenizer.from_file(PATH)
+    seen = packing.Ids(tok, most=1_000)
+    for k in range(20):
+        texts = [" ".join(f"{w}x{k}, Often" for w in range(i, i + 50)) for i in range(0, 1_000, 50)]
+        got = [np.frombuffer(d, "<u4").tolist() for d in seen.encode(pa.array([*texts, None, " often,\x1cof't "]))]
+        assert got == [tok.encode(t, add_special_tokens=False).ids for t in [*texts, "", " often,\x1cof't "]]
+        assert len(seen.runs.young) + len(seen.runs.old) <= 2 * (1_000 + 1_100)
+        assert "often" in seen.runs.young or "often" in seen.runs.old
