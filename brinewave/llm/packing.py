@@ -120,7 +120,7 @@ def gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndar
 class Ids:
     """The bytes of texts' ids. The table holds about 2 * ``most`` strings and those of two calls."""
 
-    def __init__(self, tokenizer, most: int = 200_000, whole: bool = False):
+    def __init__(self, tokenizer, most: int = 100_000, whole: bool = False):
         self.tokenizer, self.whole = tokenizer, whole
         self.runs = Recent(self.made, most)
 
@@ -158,7 +158,7 @@ class Ids:
             yield gathered(data, start[own], length[own]).tobytes()
 
 
-def by_bytes(texts: pa.Array, most: int = 1 << 24) -> Iterator[tuple[int, int]]:
+def by_bytes(texts: pa.Array, most: int = 1 << 23) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes each."""
     size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
     return pairwise([0, *(np.flatnonzero(np.diff(size // most)) + 1).tolist(), len(texts)])
@@ -201,6 +201,7 @@ def pieces(df: DataFrame, tokenizer_json: str, limit: int = 4096, end_id: int =
                 if with_ids:
                     columns.append(pa.array([r[4] for r in rows], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     kinds = [df.schema["doc_id"].dataType, T.IntegerType(), T.LongType(), T.LongType(), T.LongType(), T.BinaryType()]
     schema = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=False)])

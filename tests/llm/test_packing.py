@@ -124,3 +124,10 @@ def test_ids_of_strings_that_are_not_met_again_are_forgotten():
         assert got == [tok.encode(t, add_special_tokens=False).ids for t in [*texts, "", " often,\x1cof't "]]
         assert len(seen.runs.young) + len(seen.runs.old) <= 2 * (1_000 + 1_100)
         assert "often" in seen.runs.young or "often" in seen.runs.old
+
+
+def test_ranges_of_texts_are_whole_and_bounded():
+    texts = pa.array(["x" * 30, None, "", "y" * 500, "z" * 40, "z" * 60])
+    ranges = list(packing.by_bytes(texts, 100))
+    assert [i for a, b in ranges for i in range(a, b)] == list(range(6)) and len(ranges) > 2
+    assert list(packing.by_bytes(pa.array([None, "a"]), 100)) == [(0, 2)]
