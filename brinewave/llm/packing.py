@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brinewave.llm.common import cut, drop_cut
+from brinewave.llm.common import batches_of, cut, drop_cut
 
 PARTS = re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 WHOLE = 1 << 60  # sequence ids of whole sequences start here, those of a level at level << 52
@@ -385,6 +385,6 @@ def offsets(bins: DataFrame) -> DataFrame:
 
 def report(df: DataFrame, tokenizer_path: str, limit: int = 4096, end_id: int = 1, **how) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset, generations of every piece."""
-    with open(tokenizer_path, encoding="utf-8") as f:
+    with open(tokenizer_path, encoding="utf-8") as f, batches_of(df.sparkSession, 2_000, 1 << 22):
         rows = cut(pieces(df, f.read(), limit, end_id), "pieces")
     return pack(rows, limit, **how).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "generations")

@@ -131,3 +131,18 @@ def test_ranges_of_texts_are_whole_and_bounded():
     ranges = list(packing.by_bytes(texts, 100))
     assert [i for a, b in ranges for i in range(a, b)] == list(range(6)) and len(ranges) > 2
     assert list(packing.by_bytes(pa.array([None, "a"]), 100)) == [(0, 2)]
+
+
+def test_a_worker_gets_few_texts_at_once(spark, monkeypatch):
+    docs = spark.range(0, 12, numPartitions=1).selectExpr("id AS doc_id", "repeat('word ', 200000 + id) AS text")
+    sizes = []
+
+    def met(df, name):
+        if name == "pieces":
+            run = lambda batches: (pa.RecordBatch.from_pydict({"size": [b.nbytes]}) for b in batches)
+            sizes.extend(r["size"] for r in docs.mapInArrow(run, "size long").collect())
+        return cut(df, name)
+
+    monkeypatch.setattr(packing, "cut", met)
+    assert packing.report(docs, PATH).select("doc_id").distinct().count() == 12
+    assert sum(sizes) > 12_000_000 and max(sizes) < 6_000_000
