@@ -16,7 +16,9 @@ crossovers the shard that placed a piece went through (0: a whole sequence).
 
 Where the tokenizer's settings are the ones that LETTER_RUNS describes, white
 space never lies inside a token, so the parts between are tokenized apart and
-the ids of those met lately kept in a bounded memory; other tokenizers get whole texts. A special
+the ids of those met lately kept in a bounded memory; runs of lower-case Latin-1
+letters go to the tokenizer's model without its normalizer and pre-tokenizer, which only spell
+their bytes. Other tokenizers get whole texts. A special
 token's string in a text is that token. Null texts are empty: one end id. Equal
 documents are packed each. An empty table gives an empty result. Only doc_id and
 text are looked at.
@@ -51,10 +53,16 @@ WHOLE = 1 << 60  # sequence ids of whole sequences start here, those of a level
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 LETTERS = "".join(c for c in map(chr, range(256)) if SIMPLE.fullmatch(c))
 MARKS = "".join(c for c in map(chr, range(256)) if SIMPLE.fullmatch(f"a{c}") and c not in LETTERS)
+PLAIN = re.compile("[a-zß-öø-ÿ]+")  # NFC and lower case leave it as it is, and it is one part for the model
 RARE_SPACE = re.compile(r"[\x1c-\x1f]")
 pack_ids = [Struct(f"<{n}I").pack for n in range(12)]
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    return pack_ids[len(ids)](*ids) if len(ids) < len(pack_ids) else np.array(ids, "<u4").tobytes()
+
+
 def parts_of(text: str) -> list[str]:
     """The parts between white space; str.split() also splits at four control characters."""
     return PARTS.findall(text) if RARE_SPACE.search(text) else text.split()
@@ -121,15 +129,22 @@ class Ids:
     """The bytes of texts' ids. The table holds about 2 * ``most`` strings and those of two calls."""
 
     def __init__(self, tokenizer, most: int = 100_000, whole: bool = False):
-        self.tokenizer, self.whole = tokenizer, whole
+        self.tokenizer, self.whole, self.model = tokenizer, whole, tokenizer.model
         self.runs = Recent(self.made, most)
+        self.spelt = {} if whole else {ord(c): tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in LETTERS}
 
     def made(self, runs: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(runs), 5_000):
-            for e in self.tokenizer.encode_batch_fast(runs[at : at + 5_000], add_special_tokens=False):
-                ids = e.ids
-                out.append(pack_ids[len(ids)](*ids) if len(ids) < len(pack_ids) else np.array(ids, "<u4").tobytes())
+        """The ids of runs. Plain ones go to the tokenizer's model at once, spelt as its pre-tokenizer spells them."""
+        out, other, tokens = [b""] * len(runs), [], self.model.tokenize
+        for i, run in enumerate(runs):
+            if PLAIN.fullmatch(run):
+                out[i] = packed([t.id for t in tokens(run if run.isascii() else run.translate(self.spelt))])
+            else:
+                other.append(i)
+        for at in range(0, len(other), 5_000):
+            own = other[at : at + 5_000]
+            for i, e in zip(own, self.tokenizer.encode_batch_fast([runs[i] for i in own], add_special_tokens=False), strict=True):
+                out[i] = packed(e.ids)
         return out
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
@@ -147,7 +162,7 @@ class Ids:
         simple = pc.match_substring_regex(parts, f"^(?:{SIMPLE.pattern})$")
         first = pc.if_else(simple, pc.utf8_rtrim(pc.utf8_lower(parts), MARKS), parts)
         runs = pa.concat_arrays([first, pc.if_else(simple, pc.utf8_ltrim(parts, LETTERS), "")]).dictionary_encode()
-        known = self.runs.values(runs.dictionary.to_pylist())
+        known = self.runs.values(runs.dictionary.to_numpy(zero_copy_only=False).tolist())
         length = np.fromiter(map(len, known), np.int64, len(known)) // 4
         start, both = np.cumsum(length) - length, runs.indices.to_numpy().reshape(2, -1)
         data = gathered(np.frombuffer(b"".join(known), "<u4"), start[both.T.ravel()], length[both.T.ravel()])

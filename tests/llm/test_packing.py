@@ -126,6 +126,27 @@ def test_ids_of_strings_that_are_not_met_again_are_forgotten():
         assert "often" in seen.runs.young or "often" in seen.runs.old
 
 
+def test_plain_runs_go_to_the_model_at_once():
+    tok = Tokenizer.from_file(PATH)
+    met = []
+
+    class Counted:
+        model, pre_tokenizer = tok.model, tok.pre_tokenizer
+
+        def encode_batch_fast(self, runs, **how):
+            met.extend(runs)
+            return tok.encode_batch_fast(runs, **how)
+
+    rng = np.random.default_rng(3)
+    letters = [c for c in packing.LETTERS for _ in range(20 if c in "aeinorst" else 1)]
+    words = ["".join(rng.choice(letters, n)) for n in rng.integers(1, 30, 2_000)]
+    texts = [" ".join(words), "ÀÉÎÕÜ ß ÿ ÷ × µ ª º é e\u0301 ﬁ Ω ıİ", "don't L'été, ça?! x2y a-b", "x" * 700, "é" * 700]
+    seen = packing.Ids(Counted())
+    got = [np.frombuffer(d, "<u4").tolist() for d in seen.encode(pa.array(texts))]
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert set(met).isdisjoint(w.lower() for w in words) and "e\u0301" in met
+
+
 def test_ranges_of_texts_are_whole_and_bounded():
     texts = pa.array(["x" * 30, None, "", "y" * 500, "z" * 40, "z" * 60])
     ranges = list(packing.by_bytes(texts, 100))
