@@ -25,6 +25,7 @@ labels are looked at; repeated labels count as often as they occur.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -48,17 +49,16 @@ def features(word: str, bits: int) -> list[int]:
     return [xxhash.xxh64_intdigest(n) >> (64 - bits) for n in names]
 
 
-def counted(texts: Iterable[str], bits: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """(buckets, how often each, number of words) of each text."""
-    seen: dict[str, list[int]] = {}
-    out = []
+def present(texts: Iterable[str], bits: int, most: int = 50_000) -> np.ndarray:
+    """In how many texts each bucket occurs; of at most ``most`` words the features are remembered."""
+    seen: dict[str, bytes] = {}
+    out = np.zeros(1 << bits, np.int64)
     for text in texts:
-        words = WORDS.findall(text.lower())
-        if len(seen) > 200_000:
+        words = set(WORDS.findall(text.lower()))
+        if len(seen) > most:
             seen.clear()
-        flat = [f for w in words for f in (seen.get(w) or seen.setdefault(w, features(w, bits)))]
-        buckets, n = np.unique(np.array(flat, np.int32), return_counts=True)
-        out.append((buckets, n.astype(np.int32), len(words)))
+        flat = b"".join(seen.get(w) or seen.setdefault(w, array("i", features(w, bits)).tobytes()) for w in words)
+        out[np.unique(np.frombuffer(flat, np.int32))] += 1
     return out
 
 
@@ -81,8 +81,38 @@ class Model:
 NOTHING = Model({}, np.zeros(0), 0.0)
 
 
+class Seen(dict):
+    """Word -> its features; forgets all once there are many words."""
+
+    def __init__(self, model: Model, most: int = 400_000):
+        self.model, self.most = model, most
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= self.most:
+            self.clear()
+        out = self[word] = self.model.ids(word)
+        return out
+
+
+def counted(texts: Iterable[str | None], seen: Seen) -> tuple[np.ndarray, np.ndarray]:
+    """How often each text has each feature of the model, and its number of words."""
+    texts = list(texts)
+    x, sizes = np.zeros((len(texts), len(seen.model.index))), np.zeros(len(texts))
+    for i, text in enumerate(texts):
+        words = WORDS.findall((text or "").lower())
+        sizes[i] = len(words)
+        for ids in filter(None, map(seen.__getitem__, words)):
+            for j in ids:
+                x[i, j] += 1
+    return x, sizes
+
+
 def values(counts: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.minimum(1.0, counts / np.maximum(n_words, 1)[:, None] / FULL))
+    """The features' values, in place of the counts."""
+    counts /= np.maximum(n_words, 1)[:, None]
+    counts /= FULL
+    np.minimum(1.0, counts, out=counts)
+    return np.sqrt(counts, out=counts)
 
 
 def fit(xp: np.ndarray, xu: np.ndarray, prior: float, l2: float = 5e-4, steps: int = 400, rate: float = 0.05) -> tuple[np.ndarray, float]:
@@ -101,25 +131,14 @@ def fit(xp: np.ndarray, xu: np.ndarray, prior: float, l2: float = 5e-4, steps: i
     return w[:-1], float(w[-1])
 
 
-def select(positive: list, unlabelled: list, n_features: int, bits: int, least: int = 5) -> np.ndarray:
-    """The buckets whose presence tells the two sets apart best, by KL divergence."""
-    in_p, in_u = (np.bincount(np.concatenate([b for b, _, _ in docs]), minlength=1 << bits) for docs in (positive, unlabelled))
+def select(in_p: np.ndarray, n_p: int, in_u: np.ndarray, n_u: int, n_features: int, least: int = 5) -> np.ndarray:
+    """The buckets whose presence (in how many of n texts) tells the two sets apart best, by KL divergence."""
     names = np.flatnonzero(in_p + in_u >= least)
-    p, q = (in_p[names] + 0.5) / (len(positive) + 1), (in_u[names] + 0.5) / (len(unlabelled) + 1)
+    p, q = (in_p[names] + 0.5) / (n_p + 1), (in_u[names] + 0.5) / (n_u + 1)
     worth = p * np.log(p / q) + (1 - p) * np.log((1 - p) / (1 - q))
     return names[np.lexsort((names, -worth.round(12)))][:n_features]
 
 
-def matrix(docs: list, index: dict, bits: int) -> np.ndarray:
-    column = np.full(1 << bits, -1, np.int32)
-    column[list(index)] = list(index.values())
-    x = np.zeros((len(docs), len(index)))
-    for row, (buckets, n, _) in zip(x, docs, strict=True):
-        at = column[buckets]
-        row[at[at >= 0]] = n[at >= 0]
-    return values(x, np.array([n for _, _, n in docs]))
-
-
 def slices(rows: DataFrame, most: int, slice_chars: int) -> list[str]:
     """At most ``most`` texts of rows (_u, text), those of the smallest _u, cut to a hashed slice."""
     offset = F.pmod(F.xxhash64("_u"), F.greatest(F.lit(1), F.char_length("text") - slice_chars)).cast("int")
@@ -140,24 +159,14 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = 1_500, unlabelled
     texts_u = slices(rows.withColumn("_u", u).filter(F.pmod("_u", F.lit(1 << 20)) < share * (1 << 20)), unlabelled, slice_chars)
     if not texts_p or not texts_u:
         return NOTHING
-    p, q = counted(texts_p, bits), counted(texts_u, bits)
-    index = {int(f): i for i, f in enumerate(select(p, q, n_features, bits))}
+    index = {int(f): i for i, f in enumerate(select(present(texts_p, bits), len(texts_p), present(texts_u, bits), len(texts_u), n_features))}
     if not index:
         return NOTHING
-    return Model(index, *fit(matrix(p, index, bits), matrix(q, index, bits), toxic / n), bits)
-
-
-class Seen(dict):
-    """Word -> its features; forgets all once there are many words."""
-
-    def __init__(self, model: Model, most: int = 400_000):
-        self.model, self.most = model, most
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= self.most:
-            self.clear()
-        out = self[word] = self.model.ids(word)
-        return out
+    seen = Seen(Model(index, NOTHING.weights, 0.0, bits), 50_000)
+    xp, xu = (values(*counted(texts, seen)) for texts in (texts_p, texts_u))
+    texts_p.clear()
+    texts_u.clear()
+    return Model(index, *fit(xp, xu, toxic / n), bits)
 
 
 def scores(df: DataFrame, model: Model, keep: list[str], slice_rows: int = 500) -> DataFrame:
@@ -171,13 +180,7 @@ def scores(df: DataFrame, model: Model, keep: list[str], slice_rows: int = 500)
         for batch in batches:
             for at in range(0, batch.num_rows, slice_rows):
                 part = batch.slice(at, slice_rows)
-                x, sizes = np.zeros((part.num_rows, len(model.index))), np.zeros(part.num_rows)
-                for i, text in enumerate(part["text"]):
-                    words = WORDS.findall((text.as_py() or "").lower())
-                    sizes[i] = len(words)
-                    for ids in filter(None, map(seen.__getitem__, words)):
-                        for j in ids:
-                            x[i, j] += 1
+                x, sizes = counted((text.as_py() for text in part["text"]), seen)
                 out = np.where(sizes > 0, model.score(values(x, sizes)), 0.0)
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), pa.array(out, pa.float64())], [*keep, "score"])
 

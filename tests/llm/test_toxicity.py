@@ -1,5 +1,7 @@
 """Toxicity: the risk estimator, odd rows, held-out accuracy."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -112,3 +114,19 @@ def test_held_out_accuracy(spark):
     read = lambda t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
     got = toxicity.report(read("documents"), read("labels")).filter("held_out").join(read("labels"), "doc_id").toPandas()
     assert got[got.toxic == 0].predicted.mean() < 0.1 and got[got.toxic == 1].predicted.mean() > 0.5
+
+
+def test_learning_holds_little_at_once(spark):
+    # the driver's memory: samples are counted text by text, not held as counts of all their words
+    rng = np.random.default_rng(6)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    rows = [(i, " ".join(map("".join, rng.choice(letters, (700, 7))))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(600)], LABELS)
+    tracemalloc.start()
+    try:
+        model = toxicity.learn(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert len(model.index) == 1000 and peak < 60
