@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -95,6 +96,19 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFr
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
 
 
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], distinct: str) -> DataFrame:
+    """(keys, distinct, shares): each group's number of values and the least values with a share of the rows up to them.
+
+    Exact, over the counts of equal values; nulls do not count. Groups need not fit into memory.
+    """
+    counts = df.groupBy(*keys, F.col(value).alias("_value")).agg(F.count(value).alias("_n"))
+    group = Window.partitionBy(*keys)
+    rows = counts.withColumns({"_upto": F.sum("_n").over(group.orderBy("_value")), "_all": F.sum("_n").over(group)})
+    # decimals, as 0.9 of a count must not be a fraction more than it is
+    reached = lambda share: F.col("_upto") >= F.lit(Decimal(str(share))) * F.col("_all")
+    return rows.groupBy(*keys).agg(F.count("_value").alias(distinct), *[F.min(F.when(reached(share), F.col("_value"))).alias(name) for name, share in shares.items()])
+
+
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], point: str, low: str, high: str, width: float) -> DataFrame:
     """Rows with low <= point < high and equal keys: an equi-join on buckets of ``width``."""
     first, last = F.floor(F.col(low) / width), F.floor(F.col(high) / width)

@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from brinewave import config, plugins, workflow
 from brinewave.functions.dialect import from_sqlite
 from brinewave.operators import extract, plots, spectral
+from brinewave.plans.catalogue import ORACLES, QUERIES
 from brinewave.signals import to_arrays
 from brinewave.sources.formats import Registry
 
@@ -126,3 +128,17 @@ def test_workflow(spark):
         workflow.run([workflow.Step("a", lambda x: x, ["b"]), workflow.Step("b", lambda x: x, ["a"])])
     with pytest.raises(ValueError):
         workflow.run([workflow.Step("a", lambda x: x, ["none"])])
+
+
+def test_quantiles_next_to_a_step(spark, tmp_path):
+    # a boundary of values lies five rows below the median; a group without values; nulls
+    v = (F.col("id") * 7919) % 200000
+    rows = spark.range(0, 200000, 1, 8).select(F.lit("A").alias("l_returnflag"), F.when(v < 99995, 1.0).when(v < 179995, 2.0).otherwise(3.0).alias("l_quantity"))
+    odd = spark.createDataFrame([("B", None), ("C", None), ("C", 7.0), (None, 1.0), (None, float("nan"))], "l_returnflag string, l_quantity double")
+    rows.unionByName(odd).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = QUERIES["approximate_aggregates"](spark, str(tmp_path)).select("l_returnflag", "quantities", "middle", "high").collect()
+    key = lambda r: str(tuple(r))
+    assert sorted(map(key, got)) == sorted(map(key, con.execute(ORACLES["approximate_aggregates"]).fetchall()))
+    assert ("A", 3, 2.0, 3.0) in map(tuple, got)
