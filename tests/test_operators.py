@@ -202,3 +202,24 @@ def test_stdin(spark, monkeypatch):
 
     monkeypatch.setattr("sys.stdin", io.StringIO("time,value\n0,1.5\n1,2.5\n"))
     assert [tuple(r) for r in formats.read(spark, "-").collect()] == [(0, 1.5), (1, 2.5)]
+
+
+def test_dft_of_many_odd_signals(spark):
+    # direct sums sample by sample, to the last bit; null numbers where there are not n known samples; a kernel, not 64 * 33 interpreted steps a row
+    rng = np.random.default_rng(5)
+    good = rng.standard_normal((3000, 64))
+    odd = [None, [], [1.0] * 63, [1.0] * 65, [1.0] * 63 + [None]]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([*good.tolist(), *odd])], "i long, samples array<double>")
+    found = rows.withColumn("z", A.dft(F.col("samples"), 64))
+    assert "ArrowEvalPython" in found._jdf.queryExecution().executedPlan().toString()
+    got = {r["i"]: r["z"] for r in found.collect()}
+    cos, sin = (np.array([f(2 * math.pi * i / 64) for i in range(64)]) for f in (math.cos, math.sin))
+    for i in (0, 1023, 1024, 2999):
+        for k, z in enumerate(got[i]):
+            re = im = 0.0
+            for j, x in enumerate(good[i].tolist()):
+                re, im = re + x * float(cos[j * k % 64]), im + x * float(sin[j * k % 64])
+            assert (z["re"], z["im"]) == (re, -im)
+    assert all(len(got[3000 + i]) == 33 and all(z["re"] is None and z["im"] is None for z in got[3000 + i]) for i in range(len(odd)))
+    long = spark.createDataFrame([(rng.standard_normal(1000).tolist(),)], "samples array<double>").select("samples", A.dft(F.col("samples"), 1000).alias("z")).first()
+    assert np.allclose([complex(z["re"], z["im"]) for z in long["z"]], np.fft.rfft(long["samples"]))
