@@ -223,3 +223,19 @@ def test_dft_of_many_odd_signals(spark):
     assert all(len(got[3000 + i]) == 33 and all(z["re"] is None and z["im"] is None for z in got[3000 + i]) for i in range(len(odd)))
     long = spark.createDataFrame([(rng.standard_normal(1000).tolist(),)], "samples array<double>").select("samples", A.dft(F.col("samples"), 1000).alias("z")).first()
     assert np.allclose([complex(z["re"], z["im"]) for z in long["z"]], np.fft.rfft(long["samples"]))
+
+
+def test_comb_gaps_and_missing_samples(spark):
+    # every earlier sample of the chain echoes, weakened by its distance; missing samples, rows and signals do not
+    rng = np.random.default_rng(3)
+    rows = [(s, n, None if rng.random() < 0.2 else float(rng.standard_normal()), f"{s}-{n}") for s in (0, 1, None) for n in range(300) if rng.random() < 0.8]
+    given = spark.createDataFrame(rows, "signal_id long, n long, value double, tag string").repartition(7)
+    for lag, feedback in ((1, 0.9), (3, -0.5), (5, 0.0)):
+        found = effects.comb(given, lag, feedback, 0.5, 0.7)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroups" not in plan and "Join" not in plan and found.columns == given.columns
+        got = {r["tag"]: r["value"] for r in found.collect()}
+        assert len(got) == len(rows)
+        for s, n, v, tag in rows:
+            echo = sum(feedback ** ((n - m) // lag - 1) * x for t, m, x, _ in rows if t == s is not None and x is not None and m < n and (n - m) % lag == 0)
+            assert got[tag] is None if v is None else abs(got[tag] - (0.7 * v + 0.5 * echo)) < 1e-9
