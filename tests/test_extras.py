@@ -1,6 +1,7 @@
 """The feature driver, plot data, dialect, plugins, settings, workflows."""
 
 import math
+import time
 
 import duckdb
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from brinewave import config, plugins, workflow
 from brinewave.functions.dialect import from_sqlite
-from brinewave.operators import extract, plots, spectral
+from brinewave.operators import extract, kernels, plots, spectral
 from brinewave.plans.catalogue import ORACLES, QUERIES
 from brinewave.signals import to_arrays
 from brinewave.sources.formats import Registry
@@ -142,3 +143,26 @@ def test_quantiles_next_to_a_step(spark, tmp_path):
     key = lambda r: str(tuple(r))
     assert sorted(map(key, got)) == sorted(map(key, con.execute(ORACLES["approximate_aggregates"]).fetchall()))
     assert ("A", 3, 2.0, 3.0) in map(tuple, got)
+
+
+def test_extract_looks_at_a_signal_once(spark):
+    long = tone(spark, 2048, 8000).unionByName(tone(spark, 512, 8000).withColumn("signal_id", F.lit(1).cast("long")))
+    names = ["hnr", "jitter", "mfcc", "shimmer", "spectral_contrast"]
+    found = extract.extract(long, names, 8000, 256, 64)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FlatMapGroups") == 1
+    got = {(r["signal_id"], r["frame"]): r for r in found.collect()}
+    for key, n in ((0, 2048), (1, 512)):
+        x = np.array([r["value"] for r in tone(spark, n, 8000).orderBy("n").collect()])
+        f0, voiced, _ = kernels.pyin(x, 8000, frame=256, hop=64)
+        level = np.sqrt((kernels._frames(x, 256, 64) ** 2).mean(axis=1))
+        for name, want in (("hnr", kernels.hnr(x, 256, 64)), ("jitter", kernels.jitter(f0, voiced)), ("shimmer", kernels.shimmer(level, voiced))):
+            assert np.allclose([got[key, i][name] for i in range(len(want))], want)
+
+
+def test_pitch_of_no_dip_is_unvoiced():
+    # no lag between the limits: nothing is found, and no search is made for it
+    start = time.process_time()
+    for _ in range(200):
+        f0, voiced, p = kernels.pyin(np.sin(np.arange(80.0)), 100.0, frame=16, hop=8)
+    assert len(f0) == 11 and np.isnan(f0).all() and not voiced.any() and not p.any()
+    assert time.process_time() - start < 0.6
